@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, pii, quality
+from tessera.llm import mixing, neardup, pieces, pii, quality
 from tessera.llm.common import stored, table
 
 STAGES = [
     ("quality rules", quality.stage),
-    ("pii", pii.stage),
+    ("near duplicates", neardup.stage),
+    ("personal data", pii.stage),
     ("mixing", mixing.stage),
+    ("sentencepiece", pieces.stage),
 ]
 
 #: SQL can't express tokenization; the pipeline is tested against a brute-force version.

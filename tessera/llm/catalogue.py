@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, pii, quality, urls
+from tessera.llm import mixing, neardup, pieces, pii, quality, urls, vectors, warc
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": pieces.op1_sentencepiece,
+        "op3_neardup": neardup.op3_neardup,
         "op4_mixing": mixing.op4_mixing,
+        "op5_warc": warc.op5_warc,
+        "op6_vectors": vectors.op6_vectors,
         "op7_quality": quality.op7_quality,
         "op9_pii": pii.op9_pii,
         "op10_url_filter": urls.op10_url_filter,
@@ -15,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": quality.SQL, "op9_pii": pii.SQL, "op10_url_filter": urls.SQL}
+    return {"op6_vectors": vectors.SQL, "op7_quality": quality.SQL, "op9_pii": pii.SQL, "op10_url_filter": urls.SQL}
