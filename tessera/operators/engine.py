@@ -94,6 +94,14 @@ class Engine:
         cols = [F.col(f"`{c}`").cast(SPARK_TYPES[k]).alias(f"p{i}") for i, (c, k) in enumerate(zip(facts.columns, kinds, strict=True))]
         self._add(pred, df.select(*cols, *[v.cast(self.semiring.columns[n]).alias(n) for n, v in marks.items()]), kinds)
 
+    def replace(self, pred: str, df: DataFrame, **annotations) -> None:
+        """Puts the rows of a DataFrame in place of a predicate's base facts."""
+        self._flush()
+        if pred in self.base:
+            self.base[pred].parts, self.base[pred].pending = [], []
+        self.register(pred, df, **annotations)
+        self.base[pred].pending, self.base[pred].shrunk = [], True
+
     def _add(self, pred: str, df: DataFrame, kinds: list[str | None]) -> None:
         known = self.base.get(pred)
         if known is None:
@@ -113,7 +121,8 @@ class Engine:
         known.pending.append(new)
 
     def _arity(self, pred: str, n: int) -> None:
-        have = arities(self.clauses(), {p: len(b.types) for p, b in self.base.items()}).get(pred)
+        waiting = {p: len(r[0][0]) for p, r in self.rows.items()}
+        have = arities(self.clauses(), waiting | {p: len(b.types) for p, b in self.base.items()}).get(pred)
         if have is not None and have != n:
             raise RuleError(f"{pred} has {have} arguments, not {n}")
 
