@@ -7,8 +7,9 @@ candidates; the likelihood of all registers together, given the known set sizes,
 the threshold is confirmed on the full sets.
 
 Inside a bucket no pairs of all members are made. First each member meets the bucket's leader, links are joined to
-components, and then only members of different components of a bucket meet: small buckets by pairs, larger ones by
-further leaders, round after round, until no candidate between two components is left unseen.
+components, and then only members of different components of a bucket meet: some tens of further leaders meet the others
+in a second round, and many times more in each later one, until no candidate between two components is left unseen. The
+early rounds join most of a group of copies, so that what is left to the last ones is small.
 
 Defined cases: null or empty texts, and those of spaces only, have an empty set and link with nothing; repeated rows are
 copies of a class and all returned; a long text is taken whole; an empty table gives an empty result.
@@ -34,8 +35,8 @@ REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, TOP = 1.08, 20.0, 254
 #: An estimate may fall below the threshold by this and the pair is still confirmed (about 5 standard deviations).
 MARGIN = 0.18
-#: Buckets up to this size are paired whole in a later round, larger ones by so many further leaders a round.
-SMALL_BUCKET, LEADERS = 24, 24
+#: Further leaders of a bucket in the second round; each later round has this many times more.
+LEADERS = 32
 #: Ids of documents that a task filters by are broadcast up to this number (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 2_000_000
 CACHED_WORDS, CACHED_SETS = 300_000, 64
@@ -202,41 +203,30 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id
     leaders = bands.groupBy("key").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
     bands = stored(bands.join(leaders.select("key", "size", F.col("m.leader").alias("leader")), "key"), "bands")
     pairs = bands.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links, seen, turn = None, None, bands.select("key", F.col("leader").alias("last")).where("false")
+    links, seen, low, high = None, None, 0, LEADERS
     while True:
         pairs = stored(pairs, "pairs")
         near = stored(promising(pairs, classes, percent), "near")
         new = stored(confirmed(near, texts_of(docs, near, id_col, text), width, percent), "links")
-        grew = new.limit(1).count() > 0
-        links = new if links is None else links.unionByName(new)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        if grew or turn is None:
+        if links is None or new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
             parts = connected_components(links)
-        named = bands.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        named = bands.where(f"size > {low}").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
         named = named.withColumn("component", F.coalesce("component", "rep"))
         open_keys = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-        rows = stored(named.join(open_keys, "key").withColumn("slot", F.pmod(F.xxhash64("rep", "key"), F.lit(LEADERS))), "open")
-        small = rows.where(f"size <= {SMALL_BUCKET}")
-        x = small.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-        y = small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-        fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-        pairs = x.join(y, "key").where(f"a > b and ca <> cb and {fits}").select("a", "b")
-        # larger buckets: the next leader of each slot, by id, meets the members of other components
-        large = rows.where(f"size > {SMALL_BUCKET}")
-        if large.limit(1).count():
-            ahead = large if "slot" not in turn.columns else large.join(turn, ["key", "slot"], "left").where("last is null or rep > last").drop("last")
-            up = stored(ahead.groupBy("key", "slot").agg(F.min(F.struct("rep", "component", "n")).alias("m")).select("key", "slot", F.col("m.rep").alias("b"), F.col("m.component").alias("cb"), F.col("m.n").alias("nb")), "next")
-            met = large.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")).join(up, "key")
-            pairs = pairs.unionByName(met.where(f"ca <> cb and {fits}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-            now = up.select("key", "slot", F.col("b").alias("last"))
-            turn = now if "slot" not in turn.columns else stored(turn.join(now.select("key", "slot", F.col("last").alias("next")), ["key", "slot"], "left").select("key", "slot", F.coalesce("next", "last").alias("last")), "turn")
-            more = up.limit(1).count() > 0
-        else:
-            more = False
-        old = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = stored(pairs.distinct().join(old, ["a", "b"], "left_anti"), "open-pairs")
-        if not more and not pairs.limit(1).count():
+        rows = stored(named.join(open_keys, "key"), "open")
+        if not rows.limit(1).count():
             return links
+        # a member's place in its bucket is a hash scaled to the bucket's size: those between low and high lead in this round
+        place = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) * (F.col("size") / float(1 << 30))
+        lead = rows.where((place >= low) & (place < high)).select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+        met = rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")).join(lead, "key")
+        met = met.where(f"ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        old = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        pairs = pairs.join(old, ["a", "b"], "left_anti")
+        low, high = high, high * LEADERS
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,13 +253,3 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-
-SQL = r"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
-), g AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE unnest([ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] FOR p IN range(1, greatest(len(ws) - 1, 2))]) END AS s
-  FROM w WHERE len(ws) > 0
-)
-SELECT 1
-"""
