@@ -44,6 +44,7 @@ class Model:
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int, dummy_prefix: bool = True) -> None:
         self.kind, self.dummy_prefix = kind, dummy_prefix
         self.normal = {p: (i, s) for i, (p, s, t) in enumerate(pieces) if t == NORMAL}
+        self.scores, self.no_merge = {p: s for p, (_, s) in self.normal.items()}, float("-inf")
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.longest = max((len(p) for p in self.normal), default=1)
@@ -98,16 +99,20 @@ class Model:
     def _merge(self, unit: str) -> list[int]:
         normal = self.normal
         if len(unit) <= LONG_UNIT:
-            parts = list(unit)
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    piece = normal.get(parts[i] + parts[i + 1])
-                    if piece and (best is None or piece[1] > best):
-                        best, at = piece[1], i
-                if at < 0:
+            # scores of adjacent pairs are kept, so that a merge looks up its two neighbours only
+            parts, none, score = list(unit), self.no_merge, self.scores.get
+            scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            while scores:
+                best = max(scores)
+                if best == none:
                     break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                i = scores.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del scores[i]
+                if i < len(scores):
+                    scores[i] = score(parts[i] + parts[i + 1], none)
+                if i:
+                    scores[i - 1] = score(parts[i - 1] + parts[i], none)
         else:
             text, after, before = list(unit), list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
             heap: list[tuple[float, int, str]] = []
