@@ -85,7 +85,7 @@ def evaluate(spark: SparkSession, turns: int = 500, seed: int = 42, batch: int =
     current = memory.current()
     works = {(r["subj"], r["obj"]) for r in current.where("pred = 'works_at'").collect()}
     likes = {(r["subj"], r["obj"]) for r in current.where("pred = 'likes'").collect()}
-    reach = {(r["p0"], r["p1"]) for r in memory.engine.facts("reports_to").select("p0", "p1").collect()}
+    reach = {(r["X"], r["Y"]) for r in memory.ask("reports_to(X, Y)").collect()}
     truth = {(f"p{i}", b) for i in range(world.people) for b in world.reachable(f"p{i}")}
     wanted = {(p, o) for p, os in world.likes.items() for o in os}
     text = sum(len(t.encode()) + 1 for t, _ in episodes)
