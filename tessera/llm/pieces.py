@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from tessera.llm.common import let, stored, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
-HOT_UNITS, LONG_UNIT, CACHED_UNITS, COUNTED_UNITS = 1 << 18, 48, 1 << 18, 1 << 19
+HOT_UNITS, LONG_UNIT, CACHED_UNITS, COUNTED_UNITS = 1 << 18, 48, 1 << 19, 1 << 19
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -143,6 +144,26 @@ class Model:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+class Ids(dict):
+    """Ids of units as bytes of int32: the frequent ones are given, rarer ones are encoded when they come. Of those as many are
+    kept as memory allows; a worker's tasks share them."""
+
+    def __init__(self, model: Model, frequent: dict[str, bytes]) -> None:
+        super().__init__(frequent)
+        self.model, self.rare = model, {}
+
+    def __reduce__(self):
+        return Ids, (self.model, dict(self))
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.rare.get(unit)
+        if found is None:
+            if len(self.rare) >= CACHED_UNITS:
+                self.rare.clear()
+            found = self.rare[unit] = array("i", self.model.encode_unit(unit)).tobytes()
+        return found
+
+
 @lru_cache(2)
 def model_of(path: str) -> Model:
     with open(path, "rb") as f:
@@ -270,22 +291,13 @@ def dictionary(docs: DataFrame, text: str, model: Model, hot_units: int = HOT_UN
 def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, hot_units: int = HOT_UNITS, verify: bool = True) -> DataFrame:
     """Adds ``ids`` (array of int), ``n_pieces`` and ``round_trip`` (decoding gives the text again; U+2581 counts as a space)."""
     spark, model = docs.sparkSession, model_of(model_path)
-    shared = spark.sparkContext.broadcast((model, dictionary(docs, text, model, hot_units)))
+    shared = spark.sparkContext.broadcast((model, Ids(model, dictionary(docs, text, model, hot_units))))
     names = docs.columns
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value
-        rare: dict[str, bytes] = {}
-
-        def ids_of(unit: str) -> bytes:
-            found = known.get(unit) or rare.get(unit)
-            if found is None:
-                if len(rare) >= CACHED_UNITS:
-                    rare.clear()
-                found = rare[unit] = np.array(m.encode_unit(unit), np.int32).tobytes()
-            return found
-
+        ids_of = known.__getitem__
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
