@@ -6,10 +6,10 @@ that follows their similarity. Documents with equal sets form a class first; cla
 candidates; the likelihood of all registers together, given the known set sizes, estimates the similarity; what may reach
 the threshold is confirmed on the full sets.
 
-Inside a bucket no pairs of all members are made. First each member meets the bucket's leader, links are joined to
-components, and then only members of different components of a bucket meet: some tens of further leaders meet the others
-in a second round, and many times more in each later one, until no candidate between two components is left unseen. The
-early rounds join most of a group of copies, so that what is left to the last ones is small.
+Inside a bucket no pairs of all members are made. First each member meets the bucket's leader, and links are joined to
+components. Only members of different components of a bucket may still add a link: they meet in blocks of bounded size,
+where sketches are compared as arrays, the few promising pairs are confirmed on the full sets, and only links that join
+components leave the task. A pair meets in the first band that it shares.
 
 Defined cases: null or empty texts, and those of spaces only, have an empty set and link with nothing; repeated rows are
 copies of a class and all returned; a long text is taken whole; an empty table gives an empty result.
@@ -35,11 +35,11 @@ REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, TOP = 1.08, 20.0, 254
 #: An estimate may fall below the threshold by this and the pair is still confirmed (about 5 standard deviations).
 MARGIN = 0.18
-#: Further leaders of a bucket in the second round; each later round has this many times more.
-LEADERS = 32
+#: Rows of a block: members of a bucket meet in pairs of blocks.
+BLOCK = 512
 #: Ids of documents that a task filters by are broadcast up to this number (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 2_000_000
-CACHED_WORDS, CACHED_SETS = 300_000, 64
+CACHED_WORDS, CACHED_SETS, SLICE = 1 << 17, 64, 256
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -102,20 +102,22 @@ def sketched(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (mul, add) = _Words(), _multipliers()
         last: tuple = (None, None)
-        for batch in batches:
-            n, h1, h2, sketch = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                if t != last[0] or t is None:  # copies often lie together
-                    h = shingle_hashes(t, width, words)
-                    with np.errstate(over="ignore"):
-                        sums = (int(h.sum(dtype=np.uint64).astype(np.int64)), int(_scramble(h * _MIX[1]).sum(dtype=np.uint64).astype(np.int64)))
-                    last = (t, (len(h), *sums, registers(h, mul, add).tobytes() if len(h) else None))
-                for out, x in zip((n, h1, h2, sketch), last[1], strict=True):
-                    out.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "sketch"],
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, SLICE):  # few texts at a time as Python objects
+                batch = whole.slice(low, SLICE)
+                n, h1, h2, sketch = [], [], [], []
+                for t in batch.column(1).to_pylist():
+                    if t != last[0] or t is None:  # copies often lie together
+                        h = shingle_hashes(t, width, words)
+                        with np.errstate(over="ignore"):
+                            sums = (int(h.sum(dtype=np.uint64).astype(np.int64)), int(_scramble(h * _MIX[1]).sum(dtype=np.uint64).astype(np.int64)))
+                        last = (t, (len(h), *sums, registers(h, mul, add).tobytes() if len(h) else None))
+                    for out, x in zip((n, h1, h2, sketch), last[1], strict=True):
+                        out.append(x)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "n", "h1", "h2", "sketch"],
+                )
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH_SCHEMA)
 
@@ -169,7 +171,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 sets[key] = shingle_hashes(text, width, words)
             return sets[key]
 
-        for batch in batches:
+        for batch in (x.slice(low, SLICE) for x in batches for low in range(0, x.num_rows, SLICE)):
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             good = []
             for x, y, s, t in zip(a, b, ta, tb, strict=True):
@@ -192,41 +194,137 @@ def texts_of(docs: DataFrame, pairs: DataFrame, id_col: str, text: str) -> DataF
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of their incidence with parts of the universe."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    universe, col = np.unique(flat, return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for low in range(0, len(universe), 4096):
+        lo, hi = np.searchsorted(col, [low, low + 4096])
+        held = np.zeros((len(a) + len(b), 4096), np.float32)
+        held[row[lo:hi], col[lo:hi] - low] = 1
+        out += held[: len(a)] @ held[len(a) :].T
+    return out.astype(np.int64)
+
+
+class _Block:
+    """Rows of two parts of a bucket (of one part, if both are the same) that meet each other."""
+
+    def __init__(self, rows: list[tuple], i: int, j: int) -> None:
+        self.rep = np.array([r[0] for r in rows], np.int64)
+        self.component = np.array([r[1] for r in rows], np.int64)
+        self.n = np.array([r[2] for r in rows], np.float64)
+        self.band = rows[0][3]
+        part = np.array([r[4] for r in rows])
+        self.sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
+        self.texts = [r[6] for r in rows]
+        self.left, self.right, self.same = np.nonzero(part == i)[0], np.nonzero(part == j)[0], i == j
+
+    def candidates(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different components that first meet in this band and whose estimated similarity comes near the threshold."""
+        least = percent / 100 - MARGIN
+        y = self.right
+        for at in range(0, len(self.left), 32):
+            x = self.left[at : at + 32]
+            equal = self.sketch[x][:, None, :] == self.sketch[y][None, :, :]
+            n1, n2 = self.n[x][:, None], self.n[y][None, :]
+            good = self.component[x][:, None] != self.component[y][None, :]
+            good &= (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (equal.sum(2) >= least * REGISTERS - 1)
+            if self.same:
+                good &= x[:, None] < y[None, :]
+            p, q = np.nonzero(good)
+            if len(p):
+                first = equal[p, q].reshape(len(p), BANDS, BAND_ROWS).all(2).argmax(1)
+                p, q = p[first == self.band], q[first == self.band]
+            for low in range(0, len(p), 4096):
+                a, b = x[p[low : low + 4096]], y[q[low : low + 4096]]
+                near = likely_similarity(self.sketch[a], self.sketch[b], self.n[a], self.n[b]) >= least
+                if near.any():
+                    yield a[near], b[near]
+
+    def links(self, width: int, percent: int, words: _Words) -> Iterator[tuple[int, int]]:
+        """Confirmed links, only as many as join the components that they reach."""
+        found = list(self.candidates(percent))
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        sets = {int(k): shingle_hashes(self.texts[k], width, words) for k in np.unique(np.concatenate([a, b]))}
+        if len(a) <= 256:
+            both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+        else:
+            rows, cols = np.unique(a), np.unique(b)
+            table = _shared([sets[int(k)] for k in rows], [sets[int(k)] for k in cols])
+            both = table[np.searchsorted(rows, a), np.searchsorted(cols, b)]
+        true = 100 * both >= percent * (self.n[a] + self.n[b] - both)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for p, q in zip(a[true].tolist(), b[true].tolist(), strict=True):
+            r, t = find(int(self.component[p])), find(int(self.component[q]))
+            if r != t:
+                root[max(r, t)] = min(r, t)
+                yield int(self.rep[p]), int(self.rep[q])
+
+
+def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) inside buckets between different components, from rows (key, i, j, rep, component, n, band, part, sketch, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, at = _Words(), [], None
+
+        def out() -> pa.RecordBatch:
+            links = list(_Block(held, *at[1:]).links(width, percent, words)) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, SLICE):
+                for key, i, j, *row in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
+                    if (key, i, j) != at:
+                        if at is not None:
+                            yield out()
+                        held, at = [], (key, i, j)
+                    held.append(tuple(row))
+        if at is not None:
+            yield out()
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return dealt.select("key", "i", "j", "rep", "component", "n", "band", "part", "sketch", "text").mapInArrow(run, "a long, b long")
+
+
 def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) between classes that join the same components as all links of candidates would, as a stored table.
+    """Links (a, b) between classes that join the same components as the links of all candidates would.
 
-    ``classes``: (rep, n, sketch) with a unique rep; docs must hold rep's text once for each rep that is compared."""
-    spark = docs.sparkSession
+    ``classes``: (rep, n, sketch) with a unique rep whose text docs hold."""
     bands = classes.select("rep", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    bands = bands.select("rep", "n", F.xxhash64(F.col("band"), F.expr(f"substring(sketch, band * {BAND_ROWS} + 1, {BAND_ROWS})")).alias("key"))
+    bands = bands.select("rep", "n", "band", F.xxhash64(F.col("band"), F.expr(f"substring(sketch, band * {BAND_ROWS} + 1, {BAND_ROWS})")).alias("key"))
     order = F.struct(F.xxhash64("rep").alias("o"), F.col("rep").alias("leader"))
     leaders = bands.groupBy("key").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    bands = stored(bands.join(leaders.select("key", "size", F.col("m.leader").alias("leader")), "key"), "bands")
-    pairs = bands.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links, seen, low, high = None, None, 0, LEADERS
-    while True:
-        pairs = stored(pairs, "pairs")
-        near = stored(promising(pairs, classes, percent), "near")
-        new = stored(confirmed(near, texts_of(docs, near, id_col, text), width, percent), "links")
-        if links is None or new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            parts = connected_components(links)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        named = bands.where(f"size > {low}").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        named = named.withColumn("component", F.coalesce("component", "rep"))
-        open_keys = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-        rows = stored(named.join(open_keys, "key"), "open")
-        if not rows.limit(1).count():
-            return links
-        # a member's place in its bucket is a hash scaled to the bucket's size: those between low and high lead in this round
-        place = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) * (F.col("size") / float(1 << 30))
-        lead = rows.where((place >= low) & (place < high)).select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-        met = rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")).join(lead, "key")
-        met = met.where(f"ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        old = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = pairs.join(old, ["a", "b"], "left_anti")
-        low, high = high, high * LEADERS
+    bands = stored(bands.join(leaders.select("key", F.col("m.leader").alias("leader")), "key"), "bands")
+    # each member meets its buckets' leaders
+    pairs = stored(bands.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    near = stored(promising(pairs, classes, percent), "near")
+    links = stored(confirmed(near, texts_of(docs, near, id_col, text), width, percent), "links")
+    parts = connected_components(links)
+    # members of different components of a bucket meet in blocks
+    named = bands.select("rep", "band", "key").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = named.withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2")
+    parts_of = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = named.join(mixed.select("key", parts_of.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
+    rows = stored(rows.select("key", "rep", "component", "band", "part", "parts"), "open")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "band", "part")
+    ids = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
+    texts = texts_of(docs, ids, id_col, text).select(F.col("doc_id").alias("rep"), "text")
+    whole = dealt.join(classes.select("rep", "n", "sketch").join(texts, "rep"), "rep")
+    return links.unionByName(stored(block_links(whole, width, percent), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
