@@ -96,7 +96,7 @@ class Engine:
 
     def replace(self, pred: str, df: DataFrame, **annotations) -> None:
         """Puts the rows of a DataFrame in place of a predicate's base facts."""
-        self._flush()
+        self.flush()
         if pred in self.base:
             self.base[pred].parts, self.base[pred].pending = [], []
         self.register(pred, df, **annotations)
@@ -139,7 +139,8 @@ class Engine:
         self._arity(pred, len(args))
         self.rows.setdefault(pred, []).append((args, float(conf), sorted(set(prov))))
 
-    def _flush(self) -> None:
+    def flush(self) -> None:
+        """Lets the facts that were declared one by one enter."""
         for pred, rows in self.rows.items():
             kinds: list[str | None] = [None] * len(rows[0][0])
             for args, _, _ in rows:
@@ -155,7 +156,7 @@ class Engine:
 
     def retract(self, pred: str, *args: str | int) -> bool:
         """Removes a base fact; False if there is none (a fact that rules derive isn't a base fact)."""
-        self._flush()
+        self.flush()
         base = self.base.get(pred)
         if base is None or len(base.types) != len(args):
             return False
@@ -170,7 +171,7 @@ class Engine:
 
     def retract_all(self, pred: str, df: DataFrame) -> None:
         """Removes the base facts that a DataFrame lists, columns by position."""
-        self._flush()
+        self.flush()
         base = self.base.get(pred)
         if base is None:
             return
@@ -297,7 +298,7 @@ class Engine:
 
     def relation(self, pred: str) -> DataFrame:
         """All facts of a predicate, base and derived; equal facts may occur twice (see ``facts``)."""
-        self._flush()
+        self.flush()
         types = self.types().get(pred)
         if types is None:
             raise RuleError(f"no such predicate: {pred}")
@@ -331,7 +332,7 @@ class Engine:
 
     def run(self) -> dict[str, int]:
         """Brings derived relations up to date. Returns the new facts by predicate and their ``total``."""
-        self._flush()
+        self.flush()
         types = self.types()
         lazy = self.demand_only()
         rules = [c for c in self.rules() if c.head.pred not in lazy]
@@ -541,7 +542,7 @@ class Engine:
         atom = parse_goal(goal) if isinstance(goal, str) else goal
         kinds = self.types().get(atom.pred)
         if kinds is None:
-            self._flush()
+            self.flush()
             kinds = self.types().get(atom.pred)
         if kinds is None:
             raise RuleError(f"no such predicate: {atom.pred}")
@@ -552,7 +553,7 @@ class Engine:
     def ask_deep(self, goal: str | Atom) -> DataFrame:
         """Answers a goal by deriving only what it demands; the engine itself stays as it is."""
         atom = parse_goal(goal) if isinstance(goal, str) else goal
-        self._flush()
+        self.flush()
         derived = {c.head.pred for c in self.rules()}
         if atom.pred not in derived:
             return self.ask(atom)
@@ -569,7 +570,7 @@ class Engine:
                 side.base[pred] = Base(list(self.types()[original]), [facts], [])
         for pred, args in seeds:
             side.declare(pred, *args)
-        side._flush()
+        side.flush()
         side._types = None
         report = side.run()
         self.last_demand_facts = report["total"]
@@ -625,6 +626,7 @@ class Engine:
 
     def schema_summary(self, samples: int = 3) -> list[str]:
         """``pred/arity: n rows`` and some rows, for each relation."""
+        self.flush()
         out = []
         for pred in sorted(self.types()):
             df = self.facts(pred)

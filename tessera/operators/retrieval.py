@@ -55,6 +55,7 @@ def is_internal(pred: str) -> bool:
 def fact_documents(engine: Engine) -> DataFrame:
     """(id, text, entities, bridge, prov): one row for each fact of the shown relations. The middle of three or more arguments is a
     relation's name: it may be matched but doesn't bridge its facts' subjects."""
+    engine.flush()
     parts = []
     for pred in sorted(engine.types()):
         kinds = engine.types()[pred]

@@ -80,7 +80,7 @@ class Session:
         return f"now = {int(rest)}\n"
 
     def do_dump(self, rest: str) -> str:
-        self.engine._flush()
+        self.engine.flush()
         preds = [rest] if rest else sorted(self.engine.types())
         lines = []
         for p in preds:

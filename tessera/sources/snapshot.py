@@ -42,7 +42,7 @@ def save(memory: Memory, path: str) -> None:
     """Writes episodes, edges and other base facts as Parquet, then the manifest that makes them a snapshot."""
     memory.episodes.write.mode("overwrite").parquet(f"{path}/episodes")
     memory.open.unionByName(memory.closed).write.mode("overwrite").parquet(f"{path}/edges")
-    memory.engine._flush()
+    memory.engine.flush()
     kept = {}
     for pred, base in sorted(memory.engine.base.items()):
         if pred != "edge" and base.parts:
@@ -83,7 +83,7 @@ def load(spark: SparkSession, path: str, **options) -> Memory:
 def fact_lines(memory: Memory) -> DataFrame:
     """(value): a line ``FACT pred conf prov args`` for each base fact, tab-separated and escaped."""
     parts = []
-    memory.engine._flush()
+    memory.engine.flush()
     derived = {c.head.pred for c in memory.engine.clauses()}
     for pred, base in sorted(memory.engine.base.items()):
         if pred in derived:
