@@ -71,6 +71,13 @@ class Model:
             return []
         return UNIT.findall(((SPACE if self.dummy_prefix else "") + text).replace(" ", SPACE))
 
+    def lines(self, text: str) -> list[list[str]] | None:
+        """The words of each line between single spaces, a quicker way to the same units: all words but a later line's first carry
+        a space in front. None where spaces stand together or the text starts with one, so that units differ from words."""
+        if "  " in text or text[0] == " " or SPACE in text or not self.dummy_prefix:
+            return None
+        return [line.split(" ") for line in text.split("\n")]
+
     def fallback(self, symbol: str) -> list[int]:
         if symbol in self.normal:
             return [self.normal[symbol][0]]
@@ -146,24 +153,48 @@ class Model:
 
 class Ids(dict):
     """Ids of units as bytes of int32: the frequent ones are given, rarer ones are encoded when they come. Of those as many are
-    kept as memory allows; a worker's tasks share them."""
+    kept as memory allows; a worker's tasks share them. Keys are units without ``front``."""
 
-    def __init__(self, model: Model, frequent: dict[str, bytes]) -> None:
+    def __init__(self, model: Model, frequent: dict[str, bytes], front: str = "") -> None:
         super().__init__(frequent)
-        self.model, self.rare = model, {}
+        self.model, self.front, self.rare = model, front, {}
 
     def __reduce__(self):
-        return Ids, (self.model, dict(self))
+        return Ids, (self.model, dict(self), self.front)
 
-    def __missing__(self, unit: str) -> bytes:
-        found = self.rare.get(unit)
+    def __missing__(self, key: str) -> bytes:
+        found = self.rare.get(key)
         if found is None:
             if len(self.rare) >= CACHED_UNITS:
                 self.rare.clear()
-            found = self.rare[unit] = array("i", self.model.encode_unit(unit)).tobytes()
+            found = self.rare[key] = array("i", self.model.encode_unit(self.front + key)).tobytes()
         return found
 
 
+class Encoder:
+    """Texts to ids (as bytes of int32), by what is known of units: those with one space in front are kept without it."""
+
+    def __init__(self, model: Model, known: dict[str, bytes]) -> None:
+        spaced = {u[1:]: ids for u, ids in known.items() if u[:1] == SPACE and u[1:2] != SPACE}
+        self.model, self.spaced = model, Ids(model, spaced, SPACE)
+        self.plain = Ids(model, {u: ids for u, ids in known.items() if u[:1] != SPACE or u[1:2] == SPACE})
+
+    def encode(self, text: str) -> bytes:
+        spaced, plain = self.spaced.__getitem__, self.plain.__getitem__
+        lines = self.model.lines(text) if text else []
+        if lines is None:
+            return b"".join([spaced(u[1:]) if u[0] == SPACE and u[1:2] != SPACE else plain(u) for u in self.model.units(text)])
+        out: list[bytes] = []
+        for i, words in enumerate(lines):
+            if i:
+                out.append(plain("\n"))
+                if words[0]:
+                    out.append(plain(words[0]))
+                del words[0]
+            out.extend(map(spaced, words))
+        return b"".join(out)
+
+
 @lru_cache(2)
 def model_of(path: str) -> Model:
     with open(path, "rb") as f:
@@ -175,17 +206,28 @@ def unit_counts(docs: DataFrame, text: str, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the tokenizer's file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, Counter()
+        m, seen, spaced = shared.value, Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+            units, n = [*seen.keys(), *[SPACE + w for w in spaced.keys()]], [*seen.values(), *spaced.values()]
             seen.clear()
-            return made
+            spaced.clear()
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n, pa.int64())], names=["unit", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen.update(m.units(t))
-                if len(seen) > COUNTED_UNITS:
+                lines = m.lines(t) if t else []
+                if lines is None:
+                    seen.update(m.units(t))
+                else:
+                    for i, words in enumerate(lines):
+                        if i:
+                            seen["\n"] += 1
+                            if words[0]:
+                                seen[words[0]] += 1
+                            del words[0]
+                        spaced.update(words)
+                if len(seen) + len(spaced) > COUNTED_UNITS:
                     yield out()
         yield out()
 
@@ -291,19 +333,19 @@ def dictionary(docs: DataFrame, text: str, model: Model, hot_units: int = HOT_UN
 def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, hot_units: int = HOT_UNITS, verify: bool = True) -> DataFrame:
     """Adds ``ids`` (array of int), ``n_pieces`` and ``round_trip`` (decoding gives the text again; U+2581 counts as a space)."""
     spark, model = docs.sparkSession, model_of(model_path)
-    shared = spark.sparkContext.broadcast((model, Ids(model, dictionary(docs, text, model, hot_units))))
+    shared = spark.sparkContext.broadcast(Encoder(model, dictionary(docs, text, model, hot_units)))
     names = docs.columns
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
-        ids_of = known.__getitem__
+        encoder = shared.value
+        m = encoder.model
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
                 parts, ends, good, nulls = [], [0], [], []
                 for t in batch.column(at).to_pylist():
-                    data = b"".join(map(ids_of, m.units(t))) if t else b""
+                    data = encoder.encode(t or "")
                     parts.append(data)
                     ends.append(ends[-1] + len(data) // 4)
                     nulls.append(t is None)
