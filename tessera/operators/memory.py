@@ -49,11 +49,13 @@ class Memory:
 
     def observe(self, episodes: list[tuple] | DataFrame) -> dict:
         """Ingests episodes (text, ts[, speaker]) in their order, as one batch; returns counts of what was added, updated, merged, and
-        the escalations. A DataFrame has the columns text, ts and, if it has, speaker, in the order of ts."""
+        the escalations. A DataFrame has the columns text, ts and, if it has them, id and speaker; its order is that of ts, then id."""
         if isinstance(episodes, DataFrame):
-            n = F.row_number().over(Window.orderBy("ts", "text")) + self.n
+            # ids follow from content, so no task has to number all episodes
+            made = F.concat(F.lit("ep"), F.hex(F.xxhash64("ts", "text")))
             speaker = F.col("speaker") if "speaker" in episodes.columns else F.lit(None).cast("string")
-            new = episodes.select(F.concat(F.lit("ep"), n.cast("string")).alias("id"), n.cast("long").alias("n"), "text", F.col("ts").cast("long").alias("ts"), speaker.alias("speaker"))
+            ts = F.col("ts").cast("long")
+            new = episodes.select((F.col("id") if "id" in episodes.columns else made).alias("id"), ts.alias("n"), "text", ts.alias("ts"), speaker.alias("speaker"))
         else:
             rows = [(f"ep{self.n + i}", self.n + i, e[0], e[1], e[2] if len(e) > 2 else None) for i, e in enumerate(episodes, 1)]
             new = self.spark.createDataFrame(rows, EPISODES)
@@ -63,9 +65,9 @@ class Memory:
         self.dropped = protocol.dropped(rows)
         facts = protocol.good(rows)
         obs = facts.select(
-            F.struct(F.lit(1).alias("k"), "n", "line_no").alias("seq"), "ts", "subj", "pred", protocol.typed_object(F.col("obj")).alias("obj"), "conf", F.array("id").alias("prov"), F.lit(None).cast("long").alias("at")
+            F.struct(F.lit(1).alias("k"), "n", "id", "line_no").alias("seq"), "ts", "subj", "pred", protocol.typed_object(F.col("obj")).alias("obj"), "conf", F.array("id").alias("prov"), F.lit(None).cast("long").alias("at")
         )
-        before = self.open.select(F.struct(F.lit(0).alias("k"), F.col("vf").alias("n"), F.lit(0).alias("line_no")).alias("seq"), F.col("vf").alias("ts"), "subj", "pred", "obj", "conf", "prov", "at")
+        before = self.open.select(F.struct(F.lit(0).alias("k"), F.col("vf").alias("n"), F.lit("").alias("id"), F.lit(0).alias("line_no")).alias("seq"), F.col("vf").alias("ts"), "subj", "pred", "obj", "conf", "prov", "at")
         exclusive = self.engine.facts("exclusive").select("p0")
         decided = self.engine.space.stored(policy.decide(before.unionByName(obs), exclusive))
         wall = self.clock()

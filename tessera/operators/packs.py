@@ -37,6 +37,8 @@ happened_before(A, B) :- first_dated(A, D1), first_dated(B, D2), A \\= B, D1 < D
 stated_before(X, Y) :- current(X, "before", Y).
 stated_before(X, Z) :- stated_before(X, Y), stated_before(Y, Z).
 """
+#: Names of entities have at most so many words.
+NAME_WORDS = 8
 
 
 def symbols_of(engine: Engine, preds: list[str]) -> DataFrame:
@@ -88,11 +90,12 @@ def alias_candidates(names: DataFrame, facts: DataFrame | None = None, vectors:
     from tessera.functions.vectors import cosine
 
     n = names.select(F.col(names.columns[0]).alias("name")).distinct()
-    # a name that holds another holds all of its words: join by the shorter one's first word
-    parts = n.withColumn("words", F.split(F.lower("name"), "[ _]+"))
-    held = parts.select(F.col("name").alias("b"), F.explode(F.array_distinct("words")).alias("w"))
-    key = parts.select(F.col("name").alias("a"), F.col("words")[0].alias("w"))
-    contained = key.join(held, "w").where("a <> b and contains(lower(b), lower(a))").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("contained").alias("why"))
+    # names are short: each has few runs of words, and a run that is a name is found by equality
+    ws = F.split(F.lower("name"), "[ _]+")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(ws), F.lit(NAME_WORDS))), lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))))
+    held = n.select(F.col("name").alias("b"), F.explode(F.array_distinct(runs)).alias("run"))
+    short = n.select(F.col("name").alias("a"), F.array_join(ws, " ").alias("run"))
+    contained = short.join(held, "run").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("contained").alias("why"))
     found = contained
     if facts is not None:  # (subj, pred, obj)
         s, p, o = facts.columns[:3]
@@ -101,7 +104,7 @@ def alias_candidates(names: DataFrame, facts: DataFrame | None = None, vectors:
         found = found.unionByName(pairs.withColumn("why", F.lit("slot")))
     if vectors is not None:  # (name, vector); neighbours by sign of a few components, so that no cross join is made
         v = vectors.select(F.col(vectors.columns[0]).alias("name"), F.col(vectors.columns[1]).alias("v"))
-        bands = [F.concat_ws(",", F.lit(i), *[(F.get("v", F.lit(i * 4 + j)) >= 0).cast("string") for j in range(4)]) for i in range(8)]
+        bands = [F.concat_ws(",", F.lit(i), *[(F.get("v", F.pmod(F.lit(i * 8 + j * 5), F.size("v"))) >= 0).cast("string") for j in range(8)]) for i in range(16)]
         cells = v.select("name", "v", F.explode(F.array(*bands)).alias("cell"))
         other = cells.select(F.col("name").alias("b"), F.col("v").alias("vb"), "cell")
         close = cells.withColumnRenamed("name", "a").join(other, "cell").where("a < b").where(cosine(F.col("v"), F.col("vb")) > least_cosine)
