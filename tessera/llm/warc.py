@@ -218,7 +218,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL_ROWS = r"""
-SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
-  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS hex, min(page_id) OVER (PARTITION BY t) AS first FROM p
+), c AS (
+  SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM d
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM c
 """
