@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 from tessera.plans import magic
 from tessera.plans.compiler import SPARK_TYPES, convert, derive, matches, merged, relation_schema
 from tessera.plans.program import ANY, INT, SYM, arities, check_clause, components, infer_types, reads, type_of, wider
-from tessera.plans.rules import Atom, Clause, Const, Now, RuleError, Var, parse_goal, parse_program
+from tessera.plans.rules import Atom, Clause, Const, Now, Pos, RuleError, Var, parse_goal, parse_program
 from tessera.plans.semiring import MODES, Semiring
 from tessera.sources.storage import Space
 
 OPEN_END = 9223372036854775807
+#: A closure's iteration doubles if that makes at most so many rows, and so many times the known facts.
+DOUBLING_ROWS, DOUBLING_TIMES = 50_000_000, 16
 
 
 @dataclass
@@ -405,31 +407,41 @@ class Engine:
     def _only_keys(self, df: DataFrame) -> DataFrame:
         return df.select(*[c for c in df.columns if c[0] == "p"])
 
-    def _doubled(self, group: list[str], own: list[Clause]) -> list[Clause]:
-        """A linear transitive closure derives the same facts by doubling, in a logarithmic number of iterations."""
+    def _closure_forms(self, group: list[str], own: list[Clause]) -> tuple[list[Clause], list[Clause]] | None:
+        """(linear, doubling) forms of a transitive closure r of e, however it is written; None for other programs.
+
+        Both derive the same facts, and an iteration may use either: a doubling one extends the newest facts by all known ones, e's among them."""
         if len(group) != 1 or len(own) != 2 or self.base_relation(group[0]) is not None:
-            return own
+            return None
         r = group[0]
-        shape = lambda c: (c.head.args, [a for a in c.positives()], len(c.body))
         one = [c for c in own if len(c.body) == 1 and len(c.positives()) == 1]
         two = [c for c in own if len(c.body) == 2 and len(c.positives()) == 2]
         if len(one) != 1 or len(two) != 1 or any(not isinstance(a, Var) for c in own for x in (c.head, *c.positives()) for a in x.args):
-            return own
-        head, (e,), _ = shape(one[0])
-        if len(head) != 2 or e.args != head or head[0] == head[1] or e.pred == r:
-            return own
-        (x, z), (a, b), _ = shape(two[0])
-        if a.args[0] != x or b.args[-1] != z or len(a.args) != 2 or len(b.args) != 2 or a.args[1] != b.args[0] or len({x, z, a.args[1]}) != 3 or sorted((a.pred, b.pred)) != sorted((r, e.pred)):
-            return own
-        chain = Clause(two[0].head, tuple(type(y)(Atom(r, y.atom.args)) for y in two[0].body), two[0].name)
-        return [one[0], chain]
+            return None
+        (e,), (a, b) = one[0].positives(), two[0].positives()
+        head, (x, z) = one[0].head.args, two[0].head.args if len(two[0].head.args) == 2 else (None, None)
+        if len(head) != 2 or e.args != head or head[0] == head[1] or e.pred == r or len(a.args) != 2 or len(b.args) != 2:
+            return None
+        if a.args[0] != x or b.args[1] != z or a.args[1] != b.args[0] or len({x, z, a.args[1]}) != 3 or not {a.pred, b.pred} <= {r, e.pred} or r not in (a.pred, b.pred):
+            return None
+        form = lambda p, q: Clause(two[0].head, (Pos(Atom(p, a.args)), Pos(Atom(q, b.args))), two[0].name)
+        linear = two[0] if a.pred != b.pred else form(r, e.pred)
+        return [one[0], linear], [one[0], form(r, r)]
+
+    def _few_paths(self, delta: DataFrame, full: DataFrame) -> bool:
+        """Whether joining the newest facts to all known ones makes few rows for what it may save in iterations."""
+        ends = delta.groupBy(F.col("p1").alias("y")).agg(F.count(F.lit(1)).alias("i"))
+        starts = full.groupBy(F.col("p0").alias("y")).agg(F.count(F.lit(1)).alias("o"))
+        made = ends.join(starts, "y").agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0.0
+        return made <= DOUBLING_ROWS + DOUBLING_TIMES * full.count()
 
     def _fixpoint(self, group: list[str], own: list[Clause], seeds: dict[str, DataFrame] | None, old: dict) -> dict[str, tuple[DataFrame, DataFrame]]:
         """Facts of a component as (all derived, newly derived), stored. ``seeds``: what the inputs gained since ``old``
         was complete; None derives from the base."""
         types, ann = self.types(), self.semiring
         recursive = any(q in group for c in own for q, _ in reads(c))
-        rules = self._doubled(group, own) if recursive and seeds is None else own
+        forms = self._closure_forms(group, own) if recursive else None
+        rules = forms[0] if forms else own
         static = {q: self.relation(q) for c in own for q, _ in reads(c) if q not in group}
         bases = {p: self.base_relation(p) for p in group}
         paths: dict[str, list[str]] = {p: [] for p in group}
@@ -442,7 +454,7 @@ class Engine:
             parts = [x for x in (bases[pred], full[pred]) if x is not None]
             return self._union(parts, types[pred])
 
-        def fire(changed: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
+        def fire(changed: dict[str, DataFrame] | None, rules: list[Clause] = rules) -> dict[str, DataFrame]:
             found: dict[str, list[DataFrame]] = {}
             for c in rules:
                 atoms = c.positives()
@@ -486,7 +498,8 @@ class Engine:
         gained: dict[str, list[DataFrame]] = {p: [d] for p, d in delta.items()}
         while recursive and delta:
             self.last_iterations += 1
-            delta = absorb(fire(delta))
+            double = forms is not None and self._few_paths(delta[group[0]], full[group[0]])
+            delta = absorb(fire(delta, forms[1] if double else rules))
             for p, d in delta.items():
                 gained.setdefault(p, []).append(d)
         out = {}
