@@ -116,3 +116,14 @@ def chunks(text: Column, target: int = 3500) -> Column:
         return F.when(F.size(a) == 0, F.array(line)).when(fits, grown).otherwise(F.array_append(a, line))
 
     return F.aggregate(F.split(text, "\n"), F.expr("cast(array() as array<string>)"), step)
+
+
+def is_counting_question(question: Column) -> Column:
+    """Whether a question asks for a number of things or a total."""
+    return F.lower(question).rlike(r"\b(how many|how much|number of|count of|total|in all|altogether)\b")
+
+
+def names_subject(subject: Column, question: Column) -> Column:
+    """Whether a question has one of a subject's name's tokens (of three bytes or more) as a whole token."""
+    asked = words(question)
+    return F.exists(words(subject), lambda t: (F.octet_length(t) >= 3) & F.array_contains(asked, t))

@@ -180,6 +180,22 @@ class Memory:
             rows = rows.where(F.exists(tx.stems(line), lambda t: (F.octet_length(t) >= 3) & F.array_contains(q, t)))
         return latest_per_slot(rows)
 
+    def counts(self, query: str) -> DataFrame:
+        """(subj, pred, n, stated): of the slots on a counting question's topic, how many things they hold, and the latest number that was
+        stated as such. A value that is a run of another value's words is the same thing under a shorter name."""
+        q = F.array(*[F.lit(t) for t in self.spark.range(1).select(tx.stems(F.lit(query)).alias("s")).first()["s"]] or [F.lit("")])
+        line = F.concat("subj", F.lit(" --"), "pred", F.lit("--> "), "obj")
+        rows = self.current().where(tx.topic_overlap(tx.stems(line), F.col("subj"), q) >= 1)
+        number = F.col("obj").try_cast("bigint")
+        things = rows.where(number.isNull()).select("subj", "pred", F.lower("obj").alias("name")).distinct()
+        ws = F.split("name", "[ _]+")
+        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ws)), lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))))
+        longer = things.select("subj", "pred", F.explode(F.array_except(F.array_distinct(runs), F.array(F.array_join(ws, " ")))).alias("name")).distinct()
+        held = things.withColumn("name", F.array_join(ws, " ")).join(longer, ["subj", "pred", "name"], "left_anti").groupBy("subj", "pred").agg(F.count_distinct("name").alias("n"))
+        said = self.open.where(F.col("obj.i").isNotNull()).groupBy("subj", "pred").agg(F.max_by("obj.i", "vf").alias("stated"))
+        topic = rows.select("subj", "pred").distinct()
+        return topic.join(held, ["subj", "pred"], "left").join(said, ["subj", "pred"], "left").select("subj", "pred", F.coalesce("n", F.lit(0)).alias("n"), "stated")
+
     def context_for_query_rich(self, query: str, budget_tokens: int) -> str:
         out = [self.context_for_query(query, budget_tokens).rstrip("\n")]
         holders = self.attribution(query)
@@ -189,6 +205,11 @@ class Memory:
             out += ["", "ATTRIBUTION (who holds facts on this question's topic, by subject):", *[f"  {r['subj']}: {r['facts']} topic facts" for r in top]]
             if none:
                 out.append(f"  NO topic facts for: {', '.join(none)} (mentioned in the question)")
+        if self.spark.range(1).select(tx.is_counting_question(F.lit(query)).alias("c")).first()["c"]:
+            rows = self.counts(query).orderBy("subj", "pred").limit(8).collect()
+            if rows:
+                out += ["", "COUNTS (things held per slot on this question's topic):"]
+                out += [f"  {r['subj']} --{r['pred']}--> {r['n']}" + (f" (stated: {r['stated']})" if r["stated"] is not None else "") for r in rows]
         if any(w in query.lower() for w in STATE_WORDS):
             rows = self.slots(query).orderBy("subj", "pred").limit(8).collect()
             if rows:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import packs, policy
 from tessera.operators.engine import OPEN_END, Engine
 from tessera.operators.memory import Memory, date_differences, first_mentions, latest_per_slot
@@ -75,6 +76,17 @@ def test_contexts(spark):
     assert "NO topic facts for: bob" in m.context_for_query_rich("which status has bob", 300)
 
 
+def test_counts(spark):
+    m = memory(spark)
+    m.observe([("ann --owns--> honda civic\nann --owns--> civic\nann --owns--> bike", 1), ("ann --owned_cars--> 3\nbob --likes--> tea", 2)])
+    m.maintain(3)
+    got = {(r["subj"], r["pred"]): (r["n"], r["stated"]) for r in m.counts("how many cars and bikes does ann own").collect()}
+    assert got == {("ann", "owns"): (2, None), ("ann", "owned_cars"): (0, 3)}
+    assert "ann --owns--> 2" in m.context_for_query_rich("how many cars and bikes does ann own", 200)
+    df = spark.createDataFrame([("Ann Lee", "does lee own it"), ("Ann Lee", "does leeward own it")], "s string, q string")
+    assert [r[0] for r in df.select(tx.names_subject(F.col("s"), F.col("q"))).collect()] == [True, False]
+
+
 def test_strict_memory_drops_and_reports(spark):
     m = memory(spark, strict=True)
     m.observe_at("I --likes--> x\nann --likes--> tea\nprose here\nann --Likes It--> y", 1)
