@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than these six.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -37,6 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session to BATCH_BYTES: with long texts, batches of the default size in the JVM and in each
+    Python worker would take a large part of a small executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def let(value: Column, body) -> Column:
     """Evaluates ``value`` once and hands it to ``body`` as a variable, so that lambdas don't evaluate it again for each element."""
     return F.transform(F.array(value), body)[0]

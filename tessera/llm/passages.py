@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import small_batches, stored, table
 
 K, WINDOW = 8, 12
 #: Words that a passage spans at least, and the least share of them that are aligned equal.
@@ -162,6 +162,8 @@ def _equal_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two short runs."""
     if not len(a) or not len(b):
         return 0
+    if len(a) == len(b) and (same := int((a == b).sum())) >= len(a) - 2:
+        return same
     row = np.zeros(len(b) + 1, np.int32)
     for w in a:
         # a match extends the best before it; the running maximum carries values over
@@ -169,35 +171,41 @@ def _equal_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _across(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """The prefixes of two short runs whose alignment (an equal word counts 1, an edit -1) is worth most; (0, 0) unless it is worth 3."""
-    steps = np.arange(len(b) + 1)
-    row, best, at = -steps, 2, (0, 0)
-    for i, w in enumerate(a, 1):
-        ahead = row - 1
-        ahead[1:] = np.maximum(ahead[1:], row[:-1] + np.where(b == w, 1, -1))
-        row = np.maximum.accumulate(ahead + steps) - steps
-        top = int(row.max())
-        if top > best:
-            best, at = top, (i, int(row.argmax()))
-    return at
+def _threes(h: np.ndarray) -> np.ndarray:
+    """Hashes of three words each."""
+    if len(h) < 3:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + h[2:]
+
+
+def _run(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two runs have in common from their starts."""
+    n, at = min(len(a), len(b)), 0
+    while at < n:
+        m = min(64, n - at)
+        differ = np.nonzero(a[at : at + m] != b[at : at + m])[0]
+        if len(differ):
+            return at + int(differ[0])
+        at += m
+    return n
 
 
 def _extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """How far two runs go on alike from their starts, and how many words are equal there: equal words, then over edits as long as
-    what follows them is worth it."""
+    """How far two runs go on alike from their starts, and how many words are equal there: equal words, then over the fewest edits
+    after which more words are equal again than were edited."""
     i = j = equal = 0
+    threes, there = _threes(a), _threes(b)
     while True:
-        n = min(len(a) - i, len(b) - j)
-        differ = np.nonzero(a[i : i + n] != b[j : j + n])[0]
-        run = int(differ[0]) if len(differ) else n
+        run = _run(a[i:], b[j:])
         i, j, equal = i + run, j + run, equal + run
-        if run == n:
+        p, q = np.nonzero(threes[i : i + REACH, None] == there[None, j : j + REACH])
+        if not len(p):
             return i, j, equal
-        p, q = _across(a[i : i + REACH], b[j : j + REACH])
-        if not p:
+        best = int((p + q).argmin())
+        p, q = int(p[best]), int(q[best])
+        if _run(a[i + p : i + p + REACH], b[j + q : j + q + REACH]) < max(p, q) + 2:
             return i, j, equal
-        equal += _equal_words(a[i : i + p], b[j : j + q])
         i, j = i + p, j + q
 
 
@@ -222,6 +230,7 @@ PASSAGE = "doc_id long, start int, stop int, other_id long, other_start int, oth
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """Passages (places in words, stop exclusive) that a document shares with another one, the leader that holds them first by id."""
+    small_batches(docs.sparkSession)
     found = stored(seed_table(docs, id_col, text), "seeds")
     leaders = found.groupBy("seed").agg(F.min(F.struct("doc", "place")).alias("m"), F.max("doc").alias("last")).where("m.doc < last")
     leaders = leaders.select("seed", F.col("m.doc").alias("other"), F.col("m.place").alias("there"))
@@ -288,10 +297,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
 
     ids = chained.select(F.col("doc").alias("id")).union(chained.select("other")).distinct()
     few = chained.count() * 2 <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
     # the leader's text joins last, so that no shuffle carries it once for each document
     both = chained.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("s")), "doc").join(texts.select(F.col("id").alias("other"), F.col("text").alias("t")), "other")
-    return both.select("doc", "other", "chain", "s", "t").mapInArrow(align, PASSAGE)
+    # a repeated row brings its text, and so its passages, again
+    return both.select("doc", "other", "chain", "s", "t").mapInArrow(align, PASSAGE).distinct()
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
