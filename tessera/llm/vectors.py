@@ -9,7 +9,7 @@ The sample (SAMPLE rows, chosen by hash) only places the splits; every row is in
 splits, the comparison is complete.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components, and rows without a
-label, link with nothing and are returned with n_links 0; repeated rows are copies of a class: each links with the others;
+label or an id, link with nothing and are returned with n_links 0; repeated rows are copies of a class: each links with the others;
 an empty table gives an empty result.
 """
 
@@ -123,7 +123,7 @@ def near_vectors(rows: DataFrame, least: float = MIN_COSINE, id_col: str = "vec_
     base = rows.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), F.transform(v, lambda x: x.cast("double")).alias("embedding"))
     # a zero of either sign is one value
     base = base.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
-    base = base.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull())
+    base = base.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     dims = base.where("ok").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     base = base.withColumn("ok", F.col("ok") & (F.size("embedding") == (dims["d"] if dims else 0)))
     base = base.withColumn("same", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))), 256)))
@@ -147,7 +147,7 @@ def near_vectors(rows: DataFrame, least: float = MIN_COSINE, id_col: str = "vec_
     named = named.select("label", "same", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "label", "same").join(named, ["label", "same"], "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
