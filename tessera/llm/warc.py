@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
