@@ -11,8 +11,8 @@ components. Only members of different components of a bucket may still add a lin
 where sketches are compared as arrays, the few promising pairs are confirmed on the full sets, and only links that join
 components leave the task. A pair meets in the first band that it shares.
 
-Defined cases: null or empty texts, and those of spaces only, have an empty set and link with nothing; repeated rows are
-copies of a class and all returned; a long text is taken whole; an empty table gives an empty result.
+Defined cases: null or empty texts, and those of spaces only, have an empty set and link with nothing; rows without an id are
+returned without a component and aren't kept; repeated rows are copies of a class and all returned; a long text is taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, stored, table
+from tessera.llm.common import connected_components, small_batches, stored, table
 
 #: BANDS bands of BAND_ROWS registers. At similarity 0.8 all bands differ with a probability below 2e-5, at 0.85 below 5e-7.
 BANDS, BAND_ROWS = 26, 5
@@ -330,8 +330,9 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) for each row: class_id is the smallest id with the same set, component_id the
     smallest id reachable by links of a similarity of at least ``percent`` hundredths, kept whether that is the row's own id."""
+    small_batches(docs.sparkSession)
     rows = stored(sketched(docs, width, id_col, text), "sketches")
-    classes = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
     links = near_links(docs, classes, width, percent, id_col, text)
     parts = connected_components(links)
@@ -339,7 +340,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     named = named.select("n", "h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
