@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, stored, table
 
 K, WINDOW = 8, 12
-#: Words that a passage spans at least, and the least share of them that are aligned equal.
-MIN_WORDS, MIN_IDENTITY = 50, 0.8
+#: Words that a passage spans at least, and the least share of them that are aligned equal. Passages of 50 words and more are
+#: meant; some less are taken, since the words at their ends may carry other punctuation.
+MIN_WORDS, MIN_IDENTITY = 45, 0.8
 #: Cost of a word of gap on either side, gap at which a chain ends, and words that an extension looks ahead over edits.
 GAP_COST, MAX_GAP, REACH = 0.1, 40, 20
 BROADCAST_IDS, CACHED_WORDS, CACHED_TEXTS, SLICE = 2_000_000, 1 << 17, 16, 256
