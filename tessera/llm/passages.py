@@ -4,7 +4,8 @@ Each document gives seeds: of every window of WINDOW consecutive k-mers of words
 runs of K + WINDOW - 1 words share a seed. Of the documents that hold a seed the one with the smallest id leads, and each other
 document's place is joined to the leader's: as many rows as places, however many documents share a passage. Per pair of
 documents the matches are chained in order with a cost for gaps, through a Fenwick tree of prefix maxima, and chains are aligned
-word by word: anchors, the edits between them, and extension at both ends give fuzzy passages with their identity.
+word by word: anchors, the edits between them, and extension at both ends give fuzzy passages with their identity. A chain of which
+too little is equal is cut at its gaps, down to single equal runs, and the parts that are equal enough are taken.
 
 A passage that several documents hold is found in each of them against its leader, the copy that stays.
 
@@ -200,25 +201,34 @@ def _run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """How far two runs go on alike from their starts, and how many words are equal there: equal words, then over the fewest edits
-    after which more words are equal again than were edited."""
-    i = j = equal = 0
+def _steps(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, int]], int, int]:
+    """How far two runs go on alike from their starts: equal runs (place, place there, words), then over the fewest edits after which
+    more words are equal again than were edited; and the places reached."""
+    i = j = 0
+    out: list[tuple[int, int, int]] = []
     threes, there = _threes(a), _threes(b)
     while True:
         run = _run(a[i:], b[j:])
-        i, j, equal = i + run, j + run, equal + run
+        if run:
+            out.append((i, j, run))
+        i, j = i + run, j + run
         p, q = np.nonzero(threes[i : i + REACH, None] == there[None, j : j + REACH])
         if not len(p):
-            return i, j, equal
+            return out, i, j
         best = int((p + q).argmin())
         p, q = int(p[best]), int(q[best])
         if _run(a[i + p : i + p + REACH], b[j + q : j + q + REACH]) < max(p, q) + 2:
-            return i, j, equal
+            return out, i, j
         i, j = i + p, j + q
 
 
-def aligned(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int] | None:
+def _extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How far two runs go on alike from their starts, and how many words are equal there."""
+    runs, i, j = _steps(a, b)
+    return i, j, sum(n for *_, n in runs)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
     """(start, stop, start there, stop there, equal words) of a chain aligned on the words of both documents."""
     x, y, n = chain[0]
     equal, x2, y2 = int((a[x : x + n] == b[y : y + n]).sum()), x + n, y + n
@@ -234,6 +244,60 @@ def aligned(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) ->
     return x - back, x2 + on, y - back_there, y2 + on_there, equal + more + before
 
 
+def _backward(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal runs (place, place there, words), in order, by which two runs go on alike backwards from their stops."""
+    return [(len(a) - i - n, len(b) - j - n, n) for i, j, n in reversed(_steps(a[::-1], b[::-1])[0])]
+
+
+def equal_runs(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The equal runs (place, place there, words) of a chain: its segments, and what extends them into the gaps and at both ends."""
+    x, y, n = chain[0]
+    out = [*_backward(a[:x], b[:y]), (x, y, n)]
+    x2, y2 = x + n, y + n
+    for p, q, m in chain[1:]:
+        over = max(0, x2 - p, y2 - q)
+        p, q, m = p + over, q + over, m - over
+        if m <= 0:
+            continue
+        on, i, j = _steps(a[x2:p], b[y2:q])
+        out += [(x2 + u, y2 + v, w) for u, v, w in on]
+        x2, y2 = x2 + i, y2 + j
+        out += [(x2 + u, y2 + v, w) for u, v, w in _backward(a[x2:p], b[y2:q])]
+        out.append((p, q, m))
+        x2, y2 = p + m, q + m
+    return out + [(x2 + u, y2 + v, w) for u, v, w in _steps(a[x2:], b[y2:])[0]]
+
+
+def alike(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int]]:
+    """Passages (start, stop, start there, stop there, equal words) of a chain: the whole one where enough of it is equal, else those
+    of its parts from one equal run to another that are long and equal enough. A part inside another one isn't reported, nor one that
+    others cover, so that every equal run of a part that passes is in a passage."""
+    whole = aligned(a, b, chain)
+    x, x2, y, y2, equal = whole
+    if equal >= min_identity * max(x2 - x, y2 - y):
+        return [whole] if min(x2 - x, y2 - y) >= min_words else []
+    runs = np.array(equal_runs(a, b, chain), np.int64)
+    starts, stops, n = runs[:, :2], runs[:, :2] + runs[:, 2:], runs[:, 2]
+    between = np.array([_equal_words(a[u:p], b[v:q]) for (u, v), (p, q) in zip(stops[:-1].tolist(), starts[1:].tolist(), strict=True)], np.int64)
+    lost = (starts[1:] - stops[:-1]).max(1, initial=0)
+    # what a part has beyond the least identity is a difference of sums: up to the end of its last run, from the start of its first
+    value = (1 - min_identity) * n
+    gaps = np.append(0.0, between - min_identity * lost)
+    after = np.cumsum(value + gaps)
+    before = after - value
+    furthest = np.maximum.accumulate(after[::-1])[::-1]
+    last = np.searchsorted(-furthest, -(before - 1e-9), "right") - 1  # the last run to which a part from each run may go
+    sums = np.cumsum(n + np.append(0, between))
+    found: list[tuple[int, int]] = []
+    for i, j in enumerate(last.tolist()):
+        if j < i or (stops[j] - starts[i]).min() < min_words or (found and j <= found[-1][1]):
+            continue
+        while len(found) > 1 and found[-2][1] >= i - 1:
+            found.pop()  # the one before it and this one cover it
+        found.append((i, j))
+    return [(int(starts[i, 0]), int(stops[j, 0]), int(starts[i, 1]), int(stops[j, 1]), int(sums[j] - sums[i] + n[i])) for i, j in found]
+
+
 PASSAGE = "doc_id long, start int, stop int, other_id long, other_start int, other_stop int, n_words int, n_equal int"
 
 
@@ -297,10 +361,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
                 out = []
                 for doc, other, flat, s, t in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
                     a, b, c = of(doc, s), of(other, t), list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
-                    x, x2, y, y2, equal = aligned(a, b, c)
-                    n = max(x2 - x, y2 - y)
-                    if min(x2 - x, y2 - y) >= min_words and equal >= min_identity * n:
-                        out.append((doc, x, x2, other, y, y2, n, equal))
+                    for x, x2, y, y2, equal in alike(a, b, c, min_words, min_identity):
+                        out.append((doc, x, x2, other, y, y2, max(x2 - x, y2 - y), equal))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 

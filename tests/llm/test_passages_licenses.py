@@ -88,6 +88,56 @@ def test_chaining_finds_the_best_score(seed):
     assert abs(score(found[0]) - max(best)) < 1e-9 or max(map(score, found)) >= 0.9 * max(best)
 
 
+def exact_alike(rng, parts, gap):
+    """Two texts that share runs of the given lengths, ``gap`` words of their own apart."""
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    a, b = [new(30)], [new(25)]
+    for n in parts:
+        run = new(n)
+        a += [run, new(gap)]
+        b += [run, new(gap)]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def chained(a, b):
+    (g, p), (h, q) = passages.seeds(a), passages.seeds(b)
+    at = dict(zip(h.tolist(), q.tolist(), strict=True))
+    both = [(x, at[s]) for s, x in zip(g.tolist(), p.tolist(), strict=True) if s in at]
+    return passages.chains(*(np.array(c, np.int64) for c in zip(*both, strict=True)))
+
+
+@pytest.mark.parametrize("parts,gap", [((50, 19), 18), ((50, 19), 20), ((50, 24), 25), ((50, 50), 26), ((50, 50), 38), ((19, 50, 19), 22)])
+def test_chains_are_cut_at_gaps(parts, gap):
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        a, b = exact_alike(rng, parts, gap)
+        found = [r for c in chained(a, b) for r in passages.alike(a, b, c, passages.MIN_WORDS, passages.MIN_IDENTITY)]
+        x = 30
+        for n in parts:
+            if n == 50:
+                assert any(r[0] <= x and r[1] >= x + n for r in found), (parts, gap, found)
+            x += n + gap
+        for x, x2, y, y2, equal in found:
+            assert min(x2 - x, y2 - y) >= passages.MIN_WORDS and passages.MIN_IDENTITY * max(x2 - x, y2 - y) <= equal <= min(x2 - x, y2 - y)
+
+
+def test_exact_passages_beside_other_matches(spark):
+    rng = random.Random(6)
+    data, places = [], {}
+    for k, (parts, gap) in enumerate([((50, 19), 20), ((50, 50), 30), ((50, 24), 25)] * 3):
+        a, b = prose(rng, 30), prose(rng, 25)
+        for n in parts:
+            run = prose(rng, n)
+            if n == 50:
+                places.setdefault(2 * k + 1, []).append(len(b))
+            a, b = a + run + prose(rng, gap), b + run + prose(rng, gap)
+        data += [(2 * k, " ".join(a), None, None, None), (2 * k + 1, " ".join(b), None, None, None)]
+    got = passages.passages(spark.createDataFrame(data, DOCS)).collect()
+    for i, starts in places.items():
+        for at in starts:
+            assert any(r["doc_id"] == i and r["other_id"] == i - 1 and r["start"] <= at and r["stop"] >= at + 50 for r in got), (i, at)
+
+
 MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
 
 
