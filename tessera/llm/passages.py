@@ -7,7 +7,7 @@ documents the matches are chained in order with a cost for gaps, through a Fenwi
 word by word: anchors, the edits between them, and extension at both ends give fuzzy passages with their identity. A chain of which
 too little is equal is cut at its gaps, down to single equal runs, and the parts that are equal enough are taken.
 
-A passage that several documents hold is found in each of them against its leader, the copy that stays.
+A passage that several documents hold is found in each of them, at every place, against its leader, the copy that stays.
 
 Defined cases: null, empty and short texts have no seeds and no passages; words are runs without ASCII spaces, A-Z lower-cased;
 repeated rows are one document; passages repeated only inside one document aren't reported; an empty table gives an empty result.
@@ -67,15 +67,20 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         view = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
         at = np.unique(view.argmin(1) + np.arange(len(view)))
-    # the second, third, ... place of a seed in a document is a seed of its own, so that texts with inner repeats align as well
-    g = g[at]
+    return g[at], at
+
+
+def numbered(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of seeds that a document holds before: the second, third, ... place of a seed is a seed of its own as well, so that
+    texts with inner repeats align, too."""
     order = np.argsort(g, kind="stable")
     new = np.ones(len(g), bool)
     new[1:] = np.diff(g[order]) != 0
     nth = np.empty(len(g), np.uint64)
     nth[order] = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+    later = nth > 0
     with np.errstate(over="ignore"):
-        return g + nth * np.uint64(0xD6E8FEB86659FD93), at
+        return g[later] + nth[later] * np.uint64(0xD6E8FEB86659FD93), at[later]
 
 
 def seed_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -85,10 +90,11 @@ def seed_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             for low in range(0, whole.num_rows, SLICE):
                 hs, ds, ps = [], [], []
                 for i, t in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
-                    g, at = seeds(word_hashes(t, words))
-                    hs.append(g.view(np.int64))
-                    ds.append(np.full(len(g), i, np.int64))
-                    ps.append(at.astype(np.int32))
+                    plain = seeds(word_hashes(t, words))
+                    for g, at in (plain, numbered(*plain)):
+                        hs.append(g.view(np.int64))
+                        ds.append(np.full(len(g), i, np.int64))
+                        ps.append(at.astype(np.int32))
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, ps)], names=["seed", "doc", "place"])
 
@@ -316,12 +322,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
 
         def close() -> None:
             place, there = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
-            for c in chains(place, there):
-                # extension may add some words at either end, and covers what lies between two seeds
-                if c[-1][0] + c[-1][2] - c[0][0] >= min_words - 2 * (K + WINDOW) and sum(n for *_, n in c) > K:
-                    out.append((*pair, [v for s in c for v in s]))
+            # extension may add some words at either end, and covers what lies between two seeds
+            least = min_words - 2 * (K + WINDOW)
+            kept = [[v for s in c for v in s] for c in chains(place, there) if c[-1][0] + c[-1][2] - c[0][0] >= least and sum(n for *_, n in c) > K]
+            if kept:
+                out.append((*pair, kept))
 
-        schema = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("chain", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("chains", pa.list_(pa.list_(pa.int32())))])
         for batch in batches:
             doc, other, place, there = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             cuts = np.nonzero((np.diff(doc) != 0) | (np.diff(other) != 0))[0] + 1
@@ -334,16 +341,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
                         close()
                     held, pair = [], key
                 held.append((place[a:b], there[a:b]))
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out.clear()
+                if len(out) >= 1000 or (out and len(out[-1][2]) >= 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out.clear()
         if pair is not None:
             close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     dealt = matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "place", "there")
-    chained = stored(dealt.mapInArrow(chain, "doc long, other long, chain array<int>"), "chains")
+    chained = stored(dealt.mapInArrow(chain, "doc long, other long, chains array<array<int>>"), "chains")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, kept = _Words(), {}
@@ -359,10 +366,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
         for whole in batches:
             for low in range(0, whole.num_rows, SLICE):
                 out = []
-                for doc, other, flat, s, t in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
-                    a, b, c = of(doc, s), of(other, t), list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
-                    for x, x2, y, y2, equal in alike(a, b, c, min_words, min_identity):
-                        out.append((doc, x, x2, other, y, y2, max(x2 - x, y2 - y), equal))
+                for doc, other, flats, s, t in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
+                    a, b = of(doc, s), of(other, t)
+                    for flat in flats:
+                        c = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
+                        for x, x2, y, y2, equal in alike(a, b, c, min_words, min_identity):
+                            out.append((doc, x, x2, other, y, y2, max(x2 - x, y2 - y), equal))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -372,7 +381,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
     # the leader's text joins last, so that no shuffle carries it once for each document
     both = chained.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("s")), "doc").join(texts.select(F.col("id").alias("other"), F.col("text").alias("t")), "other")
     # a repeated row brings its text, and so its passages, again
-    return both.select("doc", "other", "chain", "s", "t").mapInArrow(align, PASSAGE).distinct()
+    return both.select("doc", "other", "chains", "s", "t").mapInArrow(align, PASSAGE).distinct()
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,17 @@ def test_exact_passages_beside_other_matches(spark):
             assert any(r["doc_id"] == i and r["other_id"] == i - 1 and r["start"] <= at and r["stop"] >= at + 50 for r in got), (i, at)
 
 
+def test_every_copy_in_a_document_is_found(spark):
+    rng = random.Random(7)
+    p, q = prose(rng, 60), prose(rng, 60)
+    own = lambda: prose(rng, 50)
+    rows = [own() + p + own(), own() + p + own() + p + own() + p, own() + q + own() + q, own() + q + own() + q + own() + q]
+    got = passages.passages(spark.createDataFrame([(i, " ".join(w), None, None, None) for i, w in enumerate(rows)], DOCS)).collect()
+    for i, other, starts in ((1, 0, (50, 160, 270)), (3, 2, (50, 160, 270))):
+        for at in starts:
+            assert any(r["doc_id"] == i and r["other_id"] == other and r["start"] <= at and r["stop"] >= at + 60 for r in got), (i, at)
+
+
 MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
 
 
