@@ -7,6 +7,9 @@ documents the matches are chained in order with a cost for gaps, through a Fenwi
 word by word: anchors, the edits between them, and extension at both ends give fuzzy passages with their identity. A chain of which
 too little is equal is cut at its gaps, down to single equal runs, and the parts that are equal enough are taken.
 
+A passage may be made of pieces that different earlier documents hold, too short to be passages there. Runs of shared seeds with
+different leaders are therefore seeds once more, and led by the first document that holds the whole run.
+
 A passage that several documents hold is found in each of them, at every place, against its leader, the copy that stays.
 
 Defined cases: null, empty and short texts have no seeds and no passages; words are runs without ASCII spaces, A-Z lower-cased;
@@ -307,13 +310,84 @@ def alike(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], min_w
 PASSAGE = "doc_id long, start int, stop int, other_id long, other_start int, other_stop int, n_words int, n_equal int"
 
 
+def mixed_runs(seed: np.ndarray, other: np.ndarray, place: np.ndarray, there: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, last place) of runs of a document's shared seeds, in order of place, that no leader holds as a whole: their seeds
+    have different leaders, or places far apart in one. Every span is taken that the seeds of an equal passage of ``min_words`` may
+    have, up to the first that such a passage has whole."""
+    # the numbered seeds of a place come beside its plain one; one seed a place is enough here
+    at = np.unique(place, return_index=True)[1]
+    seed, other, place, there = (c[at] for c in (seed.view(np.uint64), other, place.astype(np.int64), there.astype(np.int64)))
+    n = len(place)
+    cut = (np.diff(other) != 0) | (np.abs(np.diff(there - place)) > MAX_GAP)
+    cuts = np.append(0, np.cumsum(cut))
+    far = np.append(0, np.cumsum(np.diff(place) > MAX_GAP))
+    least = min_words - 2 * (WINDOW - 1)
+    hashes, firsts, lasts = [], [], []
+    h, open_ = seed.copy(), np.arange(n)
+    step = 0
+    while len(open_):
+        step += 1
+        open_ = open_[open_ + step < n]
+        open_ = open_[far[open_ + step] == far[open_]]
+        end = open_ + step
+        with np.errstate(over="ignore"):
+            mixed = (h[open_] ^ (h[open_] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + seed[end]
+        h[open_] = mixed
+        span = place[end] + K - place[open_]
+        take = (span >= least) & (cuts[end] > cuts[open_])
+        hashes.append(mixed[take])
+        firsts.append(place[open_[take]])
+        lasts.append(place[end[take]])
+        open_ = open_[span < min_words]
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty.view(np.uint64), *hashes]), np.concatenate([empty, *firsts]), np.concatenate([empty, *lasts])
+
+
+def run_matches(shared: DataFrame, min_words: int) -> DataFrame:
+    """Matches (doc, other, place, there) at both ends of runs of shared seeds: each document's run is joined to that of the document
+    with the smallest id that holds it, so that passages made of pieces with different leaders meet as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        current = None
+
+        def close() -> pa.RecordBatch:
+            h, first, last = mixed_runs(*(np.concatenate(c) for c in zip(*held, strict=True)), min_words)
+            columns = [h.view(np.int64), np.full(len(h), current, np.int64), first.astype(np.int32), last.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "doc", "place", "last"])
+
+        for batch in batches:
+            seed, doc, other, place, there = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = (np.nonzero(np.diff(doc) != 0)[0] + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(doc)], strict=True):
+                if a == b:
+                    continue
+                if held and int(doc[a]) != current:
+                    yield close()
+                    held = []
+                current = int(doc[a])
+                held.append([c[a:b] for c in (seed, other, place, there)])
+        if held:
+            yield close()
+
+    # of a place's seeds the plain one comes first, since its leader has the smallest id
+    dealt = shared.repartition("doc").sortWithinPartitions("doc", "place", "other", "there")
+    runs = stored(dealt.mapInArrow(run, "run long, doc long, place int, last int"), "runs")
+    leaders = runs.groupBy("run").agg(F.min(F.struct("doc", "place", "last")).alias("m"), F.max("doc").alias("to")).where("m.doc < to")
+    both = runs.join(leaders, "run").where("doc <> m.doc")
+    ends = F.explode(F.array(F.struct("place", F.col("m.place").alias("there")), F.struct(F.col("last").alias("place"), F.col("m.last").alias("there"))))
+    return both.select("doc", F.col("m.doc").alias("other"), ends.alias("e")).select("doc", "other", "e.place", "e.there").distinct()
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """Passages (places in words, stop exclusive) that a document shares with another one, the leader that holds them first by id."""
     small_batches(docs.sparkSession)
     found = stored(seed_table(docs, id_col, text), "seeds")
     leaders = found.groupBy("seed").agg(F.min(F.struct("doc", "place")).alias("m"), F.max("doc").alias("last")).where("m.doc < last")
     leaders = leaders.select("seed", F.col("m.doc").alias("other"), F.col("m.place").alias("there"))
-    matches = found.join(leaders, "seed").where("doc <> other").select("doc", "other", "place", "there")
+    shared = stored(found.join(leaders, "seed").select("seed", "doc", "other", "place", "there"), "shared")
+    plain = shared.where("doc <> other").select("doc", "other", "place", "there", F.lit(False).alias("extra"))
+    matches = plain.unionByName(run_matches(shared, min_words).withColumn("extra", F.lit(True)))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -321,16 +395,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
         out: list[tuple] = []
 
         def close() -> None:
-            place, there = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
+            place, there, extra = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
             # extension may add some words at either end, and covers what lies between two seeds
             least = min_words - 2 * (K + WINDOW)
-            kept = [[v for s in c for v in s] for c in chains(place, there) if c[-1][0] + c[-1][2] - c[0][0] >= least and sum(n for *_, n in c) > K]
-            if kept:
-                out.append((*pair, kept))
+            for with_runs in {False, bool(extra.any())}:
+                x, y = (place, there) if with_runs else (place[extra == 0], there[extra == 0])
+                kept = [[v for s in c for v in s] for c in chains(x, y) if c[-1][0] + c[-1][2] - c[0][0] >= least and sum(n for *_, n in c) > K] if len(x) else []
+                if kept:
+                    out.append((*pair, with_runs, kept))
 
-        schema = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("chains", pa.list_(pa.list_(pa.int32())))])
+        schema = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("extra", pa.bool_()), ("chains", pa.list_(pa.list_(pa.int32())))])
         for batch in batches:
-            doc, other, place, there = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            doc, other, place, there, extra = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             cuts = np.nonzero((np.diff(doc) != 0) | (np.diff(other) != 0))[0] + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
                 if a == b:
@@ -340,8 +416,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
                     if pair is not None:
                         close()
                     held, pair = [], key
-                held.append((place[a:b], there[a:b]))
-                if len(out) >= 1000 or (out and len(out[-1][2]) >= 1000):
+                held.append((place[a:b], there[a:b], extra[a:b]))
+                if len(out) >= 1000 or (out and len(out[-1][3]) >= 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                     out.clear()
         if pair is not None:
@@ -350,11 +426,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     dealt = matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "place", "there")
-    chained = stored(dealt.mapInArrow(chain, "doc long, other long, chains array<array<int>>"), "chains")
+    chained = stored(dealt.mapInArrow(chain, "doc long, other long, extra boolean, chains array<array<int>>"), "chains")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, kept = _Words(), {}
-        schema = pa.schema([(n, pa.int64() if n.endswith("_id") else pa.int32()) for n in ("doc_id", "start", "stop", "other_id", "other_start", "other_stop", "n_words", "n_equal")])
+        schema = pa.schema([(n, pa.int64() if n.endswith("_id") else pa.int32()) for n in ("doc_id", "start", "stop", "other_id", "other_start", "other_stop", "n_words", "n_equal")] + [("extra", pa.bool_())])
 
         def of(key: int, text: str) -> np.ndarray:
             if key not in kept:
@@ -366,12 +442,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
         for whole in batches:
             for low in range(0, whole.num_rows, SLICE):
                 out = []
-                for doc, other, flats, s, t in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
+                for doc, other, extra, flats, s, t in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
                     a, b = of(doc, s), of(other, t)
                     for flat in flats:
                         c = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
                         for x, x2, y, y2, equal in alike(a, b, c, min_words, min_identity):
-                            out.append((doc, x, x2, other, y, y2, max(x2 - x, y2 - y), equal))
+                            out.append((doc, x, x2, other, y, y2, max(x2 - x, y2 - y), equal, extra))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -381,7 +457,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
     # the leader's text joins last, so that no shuffle carries it once for each document
     both = chained.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("s")), "doc").join(texts.select(F.col("id").alias("other"), F.col("text").alias("t")), "other")
     # a repeated row brings its text, and so its passages, again
-    return both.select("doc", "other", "chains", "s", "t").mapInArrow(align, PASSAGE).distinct()
+    found = stored(both.select("doc", "other", "extra", "chains", "s", "t").mapInArrow(align, f"{PASSAGE}, extra boolean").distinct(), "passages")
+    # the leader of a run isn't reported where the seeds' own leaders hold its passage
+    led = found.where("not extra").drop("extra")
+    held = led.select("doc_id", F.col("start").alias("s"), F.col("stop").alias("e"))
+    more = found.where("extra").drop("extra").join(held, "doc_id", "left").groupBy(*led.columns).agg(F.max(F.coalesce(F.expr("s <= start and stop <= e"), F.lit(False))).alias("known"))
+    return led.unionByName(more.where("not known").drop("known"))
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,23 @@ def test_every_copy_in_a_document_is_found(spark):
             assert any(r["doc_id"] == i and r["other_id"] == other and r["start"] <= at and r["stop"] >= at + 60 for r in got), (i, at)
 
 
+def test_passages_of_pieces_with_other_leaders(spark):
+    rng = random.Random(8)
+    data, own = [], lambda: prose(rng, 40)
+    for k in range(0, 80, 4):
+        p, q = prose(rng, 30), prose(rng, 30)
+        for i, middle in enumerate((p, q, p + q, p + q)):
+            data.append((k + i, " ".join(own() + middle + own()), None, None, None))
+    # one earlier document holds both pieces, the other way round
+    p, q = prose(rng, 30), prose(rng, 30)
+    for i, middle in enumerate((q + own() + own() + p, p + q, p + q)):
+        data.append((100 + i, " ".join(own() + middle + own()), None, None, None))
+    got = {(r["doc_id"], r["other_id"]): r for r in passages.passages(spark.createDataFrame(data, DOCS)).collect()}
+    for i in [*range(3, 80, 4), 102]:
+        assert got[i, i - 1]["start"] <= 40 and got[i, i - 1]["stop"] >= 100
+    assert all(i % 4 == 3 or i == 102 for i, _ in got)
+
+
 MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
 
 
