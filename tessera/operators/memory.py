@@ -74,7 +74,7 @@ class Memory:
         edges = self.engine.space.stored(policy.edges(decided, F.coalesce(F.min_by("at", "seq"), F.lit(wall))))
         fresh = decided.where("seq.k = 1")
         counts = {r["action"]: r["count"] for r in fresh.groupBy("action").count().collect()}
-        texts = [r["text"] for r in policy.escalations(fresh).orderBy("seq").limit(1000).select("text").collect()]
+        texts = [r["text"] for r in policy.escalations(fresh).orderBy("seq").select("text").toLocalIterator()]
         self.open = edges.where(F.col("vt") == OPEN_END)
         self.closed = self.closed.unionByName(edges.where(F.col("vt") != OPEN_END))
         self._publish()

@@ -39,6 +39,8 @@ stated_before(X, Z) :- stated_before(X, Y), stated_before(Y, Z).
 """
 #: Names of entities have at most so many words.
 NAME_WORDS = 8
+#: Vectors of names are dealt to so many blocks, which are compared two by two.
+VECTOR_BLOCKS = 32
 
 
 def symbols_of(engine: Engine, preds: list[str]) -> DataFrame:
@@ -102,11 +104,11 @@ def alias_candidates(names: DataFrame, facts: DataFrame | None = None, vectors:
         slots = facts.groupBy(s, p).agg(F.collect_set(o).alias("os"), F.count_distinct(o).alias("n")).where(F.col("n").between(2, slot_size))
         pairs = slots.select(F.explode("os").alias("a"), "os").select("a", F.explode("os").alias("b")).where("a < b")
         found = found.unionByName(pairs.withColumn("why", F.lit("slot")))
-    if vectors is not None:  # (name, vector); neighbours by sign of a few components, so that no cross join is made
-        v = vectors.select(F.col(vectors.columns[0]).alias("name"), F.col(vectors.columns[1]).alias("v"))
-        bands = [F.concat_ws(",", F.lit(i), *[(F.get("v", F.pmod(F.lit(i * 8 + j * 5), F.size("v"))) >= 0).cast("string") for j in range(8)]) for i in range(16)]
-        cells = v.select("name", "v", F.explode(F.array(*bands)).alias("cell"))
-        other = cells.select(F.col("name").alias("b"), F.col("v").alias("vb"), "cell")
-        close = cells.withColumnRenamed("name", "a").join(other, "cell").where("a < b").where(cosine(F.col("v"), F.col("vb")) > least_cosine)
+    if vectors is not None:  # (name, vector); every pair meets once, in the cell of both blocks
+        v = vectors.select(F.col(vectors.columns[0]).alias("name"), F.col(vectors.columns[1]).alias("v")).withColumn("own", F.pmod(F.xxhash64("name"), F.lit(VECTOR_BLOCKS)))
+        every = F.explode(F.sequence(F.lit(0), F.lit(VECTOR_BLOCKS - 1)).cast("array<bigint>"))
+        left = v.select(F.col("name").alias("a"), F.col("v").alias("va"), F.col("own").alias("i"), every.alias("j"))
+        right = v.select(F.col("name").alias("b"), F.col("v").alias("vb"), F.col("own").alias("j"), every.alias("i"))
+        close = left.join(right, ["i", "j"]).where("a < b").where(cosine(F.col("va"), F.col("vb")) > least_cosine)
         found = found.unionByName(close.select("a", "b", F.lit("vectors").alias("why")))
     return found.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("why")), ",").alias("why")).orderBy(F.desc(F.length("why")), "a", "b").limit(limit)

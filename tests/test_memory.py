@@ -38,6 +38,14 @@ def test_policy_of_updates(spark):
     assert ("ann", "works_at", "acme") in current(m)
 
 
+def test_every_escalation_is_kept(spark):
+    m = memory(spark)
+    rows = spark.range(1100).selectExpr("concat('p', id, ' --likes--> tea\np', id, ' --likes--> jam') AS text", "id AS ts")
+    assert len(m.observe(rows)["escalations"]) == 1100 and len(set(m.escalated)) == 1100
+    last = m.escalated[-1]
+    assert m.resolve(1099) == last and len(m.escalated) == 1099
+
+
 def test_batches_agree_with_single_turns(spark):
     texts = [(f"p{i % 3} --works_at--> o{i * 7 % 4}\np{i % 2} --likes--> t{i * 5 % 3}", 10 * i) for i in range(9)]
     one, many = memory(spark), memory(spark)
@@ -143,6 +151,23 @@ def test_relevance_pack(spark):
     assert near == {("a", 1): 0.9, ("b", 2): 0.72, ("c", 3): 0.36}
 
 
+def test_alias_vectors_are_compared_exactly(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(60):
+        a, b = rng.normal(size=(2, 40))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b = 0.73 * a + (1 - 0.73**2) ** 0.5 * b / np.linalg.norm(b)
+        rows += [(f"x{i}", a.tolist()), (f"y{i}", b.tolist())]
+    at = {n: np.array(v) for n, v in rows}
+    vectors = spark.createDataFrame(rows, "n string, v array<double>")
+    got = {(r["a"], r["b"]) for r in packs.alias_candidates(vectors.select("n"), vectors=vectors, limit=10**6).collect()}
+    assert got == {(m, n) for m in at for n in at if m < n and at[m] @ at[n] > 0.72 * np.linalg.norm(at[m]) * np.linalg.norm(at[n])} and len(got) >= 60
+
+
 def test_alias_candidates(spark):
     names = spark.createDataFrame([("acme",), ("acme corp",), ("bolt",), ("nut",)], "n string")
     facts = spark.createDataFrame([("x", "uses", "bolt"), ("x", "uses", "nut")], "s string, p string, o string")
