@@ -4,6 +4,9 @@ Lines with a license's cue words are grouped to candidate blocks. A block is com
 zstandard dictionary; the relative reduction of its size ranks the templates, and the best ones are confirmed by the exact
 differences in wording: words that the block lacks, adds or replaces, apart from years and holders.
 
+Where a block isn't confirmed as it stands, windows of the templates' length are sought in and around it, so that neither the prose
+of a line nor line ends hide a notice.
+
 Texts without any cue never leave the JVM; blocks are found in whole texts, whatever their length.
 
 Defined cases: null and empty texts give no rows; a block is reported once, with its best template, ties going to the template
@@ -28,6 +31,8 @@ CUES = ("licens", "licenc", "copyright", "permission", "warrant", "redistribut",
 #: A block ends where so many lines hold no cue; long lines are cut into sentences first.
 QUIET_LINES, LONG_LINE = 2, 400
 LEAST_REDUCTION, BEST, MAX_DIFFERENCE = 0.30, 3, 0.15
+#: Characters around a block in which notices that begin before it or go on after it are sought: more than the longest template has.
+AROUND = 1000
 
 # fixed values: names of licenses and the wording of their notices
 TEMPLATES = (
@@ -143,6 +148,74 @@ def judge(block: str) -> tuple[str, float, list[str], bool] | None:
     return best
 
 
+@lru_cache(1)
+def _grams() -> tuple[list[list[str]], dict[tuple, list[tuple[int, int]]]]:
+    """Words of the templates, and where three words in a row stand in them: (template, place)."""
+    wants, at = [wording(t) for _, t in TEMPLATES], {}
+    for t, want in enumerate(wants):
+        for k in range(len(want) - 2):
+            at.setdefault(tuple(want[k : k + 3]), []).append((t, k))
+    return wants, at
+
+
+def windows(text: str, near: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start, stop, words) around candidate blocks whose wording is that of a template, whatever lines and prose they stand in."""
+    regions: list[list[int]] = []
+    for a, b in near:
+        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
+        if regions and a <= regions[-1][1]:
+            regions[-1][1] = max(b, regions[-1][1])
+        else:
+            regions.append([a, b])
+    wants, at = _grams()
+    found = []
+    for a, b in regions:
+        held = [(w[0], m.start(), m.end()) for m in re.finditer(r"\S+", text[a:b]) if (w := wording(m.group()))]
+        words = [w for w, *_ in held]
+        starts: dict[int, set[int]] = {}
+        for i in range(len(words) - 2):
+            for t, k in at.get(tuple(words[i : i + 3]), ()):
+                starts.setdefault(t, set()).add(i - k)
+        for t, places in starts.items():
+            want, slack, last = wants[t], int(MAX_DIFFERENCE * len(wants[t])), None
+            for i in sorted(places):
+                if last is not None and i - last <= slack:
+                    continue
+                last = i
+                low = max(0, i - slack)
+                have = words[low : max(0, i + 2 * slack) + len(want)]
+                equal = [m for m in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
+                if not equal:
+                    continue
+                x, y = low + equal[0].b, low + equal[-1].b + equal[-1].size
+                n = len(differences(words[x:y], want))
+                if n <= MAX_DIFFERENCE * len(want):
+                    found.append((len(want) - n, -n, -t, a + held[x][1], a + held[y - 1][2]))
+    out: list[tuple[int, int, int]] = []
+    for n, _, _, x, y in sorted(found, reverse=True):  # the most equal words first
+        if all(y <= u or v <= x for u, v, _ in out):
+            out.append((x, y, n))
+    return sorted(out)
+
+
+def scan(text: str) -> list[tuple[int, int, tuple[str, float, list[str], bool]]]:
+    """(start, stop, judgement) of a text's blocks, and of the windows in and across blocks that aren't confirmed as they are."""
+    near = blocks(text)
+    judged = [(a, b, judge(text[a:b])) for a, b in near]
+    sure = [(a, b) for a, b, found in judged if found and found[3]]
+    more = []
+    for x, y, n in windows(text, near):
+        inside = [(a, b) for a, b in sure if a < y and x < b]
+        # a notice that goes on beyond confirmed blocks takes their place
+        if all(x <= a and b <= y and n > len(wording(text[a:b])) for a, b in inside):
+            found = judge(text[x:y])
+            if found and found[3]:
+                more.append((x, y, found))
+    # a block is replaced by a window that holds it whole, or that finds the same license in it
+    kept = [(a, b, found) for a, b, found in judged if found and not any((x <= a and b <= y) or (a < y and x < b and w[0] == found[0]) for x, y, w in more)]
+    return sorted(kept + more, key=lambda r: r[:2])
+
+
 SCHEMA = "doc_id long, start long, stop long, license string, reduction double, n_differences long, differences string, confirmed boolean"
 
 
@@ -156,11 +229,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             for low in range(0, whole.num_rows, 256):
                 out = []
                 for i, t in zip(*(c.to_pylist() for c in whole.slice(low, 256).columns), strict=True):
-                    for a, b in blocks(t):
-                        found = judge(t[a:b])
-                        if found:
-                            name, reduction, diff, good = found
-                            out.append((i, a, b, name, round(reduction, 6), len(diff), " ".join(diff), good))
+                    for a, b, (name, reduction, diff, good) in scan(t):
+                        out.append((i, a, b, name, round(reduction, 6), len(diff), " ".join(diff), good))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 

@@ -190,3 +190,18 @@ def test_licenses(spark):
             assert r["license"] == name and r["n_differences"] == n and r["start"] == len(filler) + 1 and r["stop"] == len(filler) + 1 + len(text)
     assert next(r for r in good if r["doc_id"] == 7)["differences"] == "-merge +melt"
     assert licenses.license_scan(spark.createDataFrame([], DOCS)).count() == 0 and F is not None
+
+
+def test_licenses_in_prose_and_wrapped(spark):
+    rng = random.Random(9)
+    before, after = " ".join(prose(rng, 20)), " ".join(prose(rng, 30))
+    short = {"MIT": "Released under the MIT License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "proprietary": "All rights reserved.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    short["GPL-3.0"] = "This work is licensed under the GNU General Public License, version 3."
+    cases = [(name, f"{before}. {t} {after}", t) for name, t in short.items()] + [(name, f"{before}. {t} {after * 4}", t) for name, t in short.items()]
+    notice = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 100)
+    wrapped = notice.replace("; you", ";\nyou").replace(". You", ".\nYou").replace(" at http", " at\nhttp")
+    cases.append(("Apache-2.0", f"{before}\n{wrapped}\n{after}", wrapped))
+    rows = [(i, t, None, None, None) for i, (_, t, _) in enumerate(cases)]
+    good = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, DOCS)).collect() if r["confirmed"]}
+    for i, (name, text, want) in enumerate(cases):
+        assert good[i]["license"] == name and text[good[i]["start"] : good[i]["stop"]].rstrip(".") == want.rstrip("."), (name, text, good.get(i))
