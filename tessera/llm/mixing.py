@@ -15,20 +15,22 @@ own, last in order; repeated rows take places of their own; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACE_RUN, stored, table
+from tessera.llm.common import SPACE_RUN, fresh, own, quoted, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, MAX_EPOCHS = 150, 2
 #: Slots of a whole mix at most, about: the length of a block follows from it.
 SLOTS = 1 << 18
 GOLDEN = 0.6180339887498949
-BUCKET_ROWS = 2000
+#: Rows of a bucket, about, and buckets of a run.
+BUCKET_ROWS, FAN = 2000, 2048
 
 
 def n_words(text: Column) -> Column:
@@ -61,12 +63,16 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share_percent:
 def running_sum(rows: DataFrame, group: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group that come before, by (bucket, order).
 
-    The window over a group has one row for each bucket; the window over rows is bounded by a bucket."""
-    sums = rows.groupBy(group, bucket).agg(F.sum(value).alias("_s"))
-    upto = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col(group).alias("_g"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    Three levels of windows: over a group's runs of FAN buckets, over the buckets of a run, over the rows of a bucket. A task holds at
+    most FAN buckets, or a bucket's rows, or a group's runs, which are 1 / FAN of its buckets."""
+    upto = lambda keys, by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    sums = rows.groupBy(F.col(group).alias("_g"), F.col(bucket).alias("_b")).agg(F.sum(value).alias("_s")).withColumn("_t", F.floor(F.col("_b") / FAN))
+    tops = sums.groupBy(F.col("_g").alias("_tg"), F.col("_t").alias("_tt")).agg(F.sum("_s").alias("_ts"))
+    tops = tops.select("_tg", "_tt", before("_ts", upto(["_tg"], ["_tt"])).alias("_to"))
+    offsets = sums.withColumn("_bo", before("_s", upto(["_g", "_t"], ["_b"]))).join(tops, F.col("_g").eqNullSafe(F.col("_tg")) & (F.col("_t") == F.col("_tt")))
+    offsets = offsets.select("_g", "_b", (F.col("_to") + F.col("_bo")).alias("_o"))
+    rows = rows.withColumn("_i", before(value, upto([group, bucket], order)))
     joined = rows.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col(bucket) == F.col("_b")))
     return joined.withColumn(out, F.col("_o") + F.col("_i")).drop("_g", "_b", "_o", "_i")
 
@@ -94,12 +100,14 @@ def schedule(spark: SparkSession, plan: list[dict], block: int) -> DataFrame:
     return taken.select("src", F.col("rank").alias("block"), "slot", F.least(F.lit(block), F.col("words") - F.col("rank") * block).alias("words"))
 
 
-def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", weights=WEIGHTS, share_percent=SHARE_PERCENT, epochs=MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
-    """Returns (rows, pieces). rows: ``keep``, size, source_size, target and row (bucket, rn), one for each document;
-    pieces: row, epoch, slot, from, words, one for each part of a document that a slot takes, in the order of slots."""
+def mix(docs: DataFrame, keep: Sequence[str | Column], text: str = "text", source: str = "source", weights=WEIGHTS, share_percent=SHARE_PERCENT, epochs=MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
+    """Returns (rows, pieces). rows: ``keep`` (a struct of the columns named so, which also give a document its place), size,
+    source_size, target and row (src, bucket, rn), one for each document; pieces: row, epoch, slot, from, words, one for each part
+    of a document that a slot takes, in the order of slots."""
     spark = docs.sparkSession
-    base = docs.select(*keep, F.col(source).alias("src_name"), words_exact(F.col(text)).alias("size"))
-    base = stored(base.withColumn("h", F.xxhash64(F.lit("mix"), *[F.col(c) for c in keep])), "mix-sizes")
+    named = [quoted(c) if isinstance(c, str) else c for c in keep]
+    base = docs.select(F.struct(*named).alias("keep"), quoted(source).alias("src_name"), words_exact(quoted(text)).alias("size"))
+    base = stored(base.withColumn("h", F.xxhash64(F.lit("mix"), F.col("keep"))), "mix-sizes")
     found = base.groupBy("src_name").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).orderBy(F.col("src_name").asc_nulls_last()).collect()
     sizes = [(r["src_name"], r["words"]) for r in found]
     aims = targets(sizes, weights, share_percent, epochs)
@@ -111,10 +119,10 @@ def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "sou
     )
     rows = base.join(F.broadcast(info), F.col("src_name").eqNullSafe(F.col("_name"))).drop("_name")
     rows = rows.withColumn("bucket", F.pmod("h", "buckets"))
-    order = ["h", *[c for c in keep], "size"]
+    order = ["h", "keep", "size"]
     rows = running_sum(rows, "src", "bucket", order, "size", "start")
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("src", "bucket").orderBy(*order)))
-    rows = stored(rows.select(*keep, "src", "bucket", "rn", "size", "source_size", "target", "goal", "start"), "mix-rows")
+    rows = stored(rows.select("keep", "src", "bucket", "rn", "size", "source_size", "target", "goal", "start"), "mix-rows")
     # document d's words in epoch e lie at start + e * source_size; those before the goal are taken
     spans = rows.where("size > 0").select("src", "bucket", "rn", "size", "goal", "source_size", "start", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     spans = spans.withColumn("a", F.col("start") + F.col("epoch") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("goal"))).where("a < b")
@@ -133,7 +141,7 @@ def taken_words(rows: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, pieces = mix(table(spark, sf_dir, "documents"), ["doc_id"])
-    return taken_words(rows, pieces).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(rows, pieces).select("keep.doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -141,13 +149,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A source's line is taken from its start, so at most one document of a source is cut, and rounding moves only that one.
     A document without words belongs to no block and stays once."""
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows, pieces = mix(keyed, ["doc_id", "_k"])
-    taken = taken_words(rows, pieces)
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    taken = taken_words(*mix(docs, ["doc_id", key.alias("k")]))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
     # equal rows are told apart by nothing, so their copies are dealt to the rows of one key in turn
-    by_key = taken.select("doc_id", "_k", copies.alias("copies")).groupBy("doc_id", "_k").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("same"))
-    by_key = by_key.where("copies > 0").withColumnsRenamed({"doc_id": "_d", "_k": "_kk"})
-    one = keyed.join(by_key, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_kk")))
-    each = F.floor((F.col("copies") + F.col("same") - 1) / F.col("same")).cast("int")
-    return one.withColumn("_n", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    d, k, each, n = fresh(docs.columns, "_d", "_k", "_each", "_n")
+    by_key = taken.select(F.col("keep.doc_id").alias(d), F.col("keep.k").alias(k), copies.alias("copies")).groupBy(d, k).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("same"))
+    by_key = by_key.where("copies > 0").select(d, k, F.ceil(F.col("copies") / F.col("same")).cast("int").alias(each))
+    one = docs.join(by_key, F.col("doc_id").eqNullSafe(F.col(d)) & (key == F.col(k)))
+    return one.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*own(docs))

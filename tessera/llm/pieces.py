@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import let, stored, table
+from tessera.llm.common import let, own, quoted, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -231,7 +232,7 @@ def unit_counts(docs: DataFrame, text: str, model: Model) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select(F.col(text)).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(quoted(text)).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -330,12 +331,24 @@ def dictionary(docs: DataFrame, text: str, model: Model, hot_units: int = HOT_UN
     return out
 
 
+ADDED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+
+
+def widened(rows: DataFrame, text: str, added: T.StructType) -> tuple[DataFrame, int, T.StructType]:
+    """(columns of ``rows`` but those that ``added`` replaces, place of the column ``text`` among them, schema with the added ones)."""
+    kept = rows.select(*own(rows, *added.names))
+    places = [i for i, c in enumerate(kept.columns) if c.lower() == text.lower()]
+    if not places:
+        raise ValueError(f"{text} is not a column, or the name of one that is added: {rows.columns}")
+    return kept, places[0], T.StructType([*[T.StructField(f.name, f.dataType) for f in kept.schema.fields], *added.fields])
+
+
 def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, hot_units: int = HOT_UNITS, verify: bool = True) -> DataFrame:
-    """Adds ``ids`` (array of int), ``n_pieces`` and ``round_trip`` (decoding gives the text again; U+2581 counts as a space)."""
+    """Adds ``ids`` (array of int), ``n_pieces`` and ``round_trip`` (decoding gives the text again; U+2581 counts as a space). These
+    take the place of columns of the same name, all others are kept."""
     spark, model = docs.sparkSession, model_of(model_path)
     shared = spark.sparkContext.broadcast(Encoder(model, dictionary(docs, text, model, hot_units)))
-    names = docs.columns
-    at = names.index(text)
+    rows, at, schema = widened(docs, text, ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
@@ -352,24 +365,22 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, hot_uni
                     good.append(None if t is None else not verify or m.decode(np.frombuffer(data, np.int32).tolist()) == t.replace(SPACE, " "))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)), mask=pa.array(nulls))
                 n = pa.array([None if x else b - a for x, a, b in zip(nulls, ends, ends[1:], strict=False)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, n, pa.array(good, pa.bool_())], names=[*names, "ids", "n_pieces", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, n, pa.array(good, pa.bool_())], names=schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, ids array<int>, n_pieces long, round_trip boolean")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", model_path: str = MODEL) -> DataFrame:
-    """Adds ``decoded``, the text of an array of ids; null stays null."""
+    """Adds ``decoded``, the text of an array of ids, in place of a column of that name; null stays null."""
     shared = rows.sparkSession.sparkContext.broadcast(model_of(model_path))
-    at = rows.columns.index(ids)
+    rows, at, schema = widened(rows, ids, T.StructType([T.StructField("decoded", T.StringType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [None if x is None else shared.value.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, decoded string")
+    return rows.mapInArrow(run, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,5 +388,6 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: every row of its input with its ids instead of its text."""
+    """The last stage: every row of its input with its ids instead of its text; ``ids``, ``n_pieces`` and ``round_trip`` take the
+    place of columns of the same name."""
     return encode(docs).drop("text")

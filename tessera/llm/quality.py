@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, let, stored, table, word_array
+from tessera.llm.common import SPACES, fresh, let, quoted, stored, table, word_array
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -44,11 +44,11 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.sort_array(windows), lambda s: let(places(s), covered)))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a struct ``_q`` with the rules' measures."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def measured(docs: DataFrame) -> DataFrame:
+    """From (id, host, text) the same with a struct ``_q`` of the rules' measures."""
+    t = F.coalesce(F.col("text"), F.lit(""))
     by_words = let(
-        word_array(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))
+        word_array(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))
     )
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
@@ -98,9 +98,10 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """Returns id, the measures, ``base_failed``, the rules, ``host_ok`` and ``kept`` for each row of ``docs``."""
-    rows = measured(docs.select(F.col(id_col), F.col(host).alias("host"), F.col(text)), text)
-    rows = rows.select(id_col, "host", "_q.*", *[c.alias(r) for r, c in rule_failures().items()])
+    """Returns id, the measures, ``base_failed``, the rules, ``host_ok`` and ``kept`` for each row of ``docs``; its other columns
+    aren't read."""
+    rows = measured(docs.select(quoted(id_col).alias("_id"), quoted(host).alias("host"), quoted(text).alias("text")))
+    rows = rows.select(F.col("_id").alias(id_col), "host", "_q.*", *[c.alias(r) for r, c in rule_failures().items()])
     rows = stored(rows, "quality")
     verdicts = host_verdicts(rows).select(F.col("host").alias("_host"), "host_ok")
     base = F.col("few_words") | F.col("repeats")
@@ -117,10 +118,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. Verdicts meet the rows by id, which may repeat: equal ids with different texts are told apart by the text's hash."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit("")))
-    keyed = docs.withColumn("_k", key)
-    verdict = quality(keyed.withColumn("_id", F.struct("doc_id", "_k")), id_col="_id").where("kept")
-    kept = verdict.select(F.col("_id.doc_id").alias("_d"), F.col("_id._k").alias("_kk")).distinct()
-    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_kk")), "left_semi").drop("_k")
+    judged = quality(docs.select(F.struct(F.col("doc_id"), key.alias("k")).alias("row"), "source", "text"), id_col="row").where("kept")
+    d, k = fresh(docs.columns, "_d", "_k")
+    kept = judged.select(F.col("row.doc_id").alias(d), F.col("row.k").alias(k)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (key == F.col(k)), "left_semi")
 
 
 SQL = r"""
