@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neardup": neardup.SQL, "op5_warc": warc.SQL, "op6_vectors": vectors.SQL, "op7_quality": quality.SQL, "op9_pii": pii.SQL, "op10_url_filter": urls.SQL}
+    return {"op3_neardup": neardup.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL, "op6_vectors": vectors.SQL, "op7_quality": quality.SQL, "op9_pii": pii.SQL, "op10_url_filter": urls.SQL}

@@ -107,7 +107,9 @@ def mix(docs: DataFrame, keep: Sequence[str | Column], text: str = "text", sourc
     spark = docs.sparkSession
     named = [quoted(c) if isinstance(c, str) else c for c in keep]
     base = docs.select(F.struct(*named).alias("keep"), quoted(source).alias("src_name"), words_exact(quoted(text)).alias("size"))
-    base = stored(base.withColumn("h", F.xxhash64(F.lit("mix"), F.col("keep"))), "mix-sizes")
+    # 60 bits of a digest that any engine gives alike
+    place = F.conv(F.substring(F.md5(F.to_json("keep").cast("binary")), 1, 15), 16, 10).cast("long")
+    base = stored(base.withColumn("h", place), "mix-sizes")
     found = base.groupBy("src_name").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).orderBy(F.col("src_name").asc_nulls_last()).collect()
     sizes = [(r["src_name"], r["words"]) for r in found]
     aims = targets(sizes, weights, share_percent, epochs)
@@ -158,3 +160,26 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by_key = by_key.where("copies > 0").select(d, k, F.ceil(F.col("copies") / F.col("same")).cast("int").alias(each))
     one = docs.join(by_key, F.col("doc_id").eqNullSafe(F.col(d)) & (key == F.col(k)))
     return one.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*own(docs))
+
+
+SQL = r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('{"doc_id":' || doc_id || '}'), 1, 15) AS BIGINT) AS h FROM documents
+), c AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, count(*) AS docs, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s GROUP BY source
+), o AS (
+  SELECT *, 150 * sum(n) OVER () / 100 AS total, coalesce(sum(2 * n) OVER (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+    sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM c
+), f AS (SELECT *, 2 * n <= w * ((total - caps) / ws) AS full_ FROM o
+), t AS (
+  SELECT *, CASE WHEN full_ THEN CAST(2 * n AS DOUBLE) ELSE w * ((total - coalesce(sum(2 * n) FILTER (WHERE full_) OVER (), 0)) / sum(w) FILTER (WHERE NOT full_) OVER ()) END AS target FROM f
+), g AS (
+  SELECT *, CAST(least(2 * n, round_even(target, 0)) AS BIGINT) AS goal, greatest(1, docs // 2000, CAST(floor(sqrt(docs // 64)) AS BIGINT)) AS buckets FROM t
+), l AS (
+  SELECT s.doc_id, s.size, g.n, g.target, g.goal,
+    CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h % g.buckets, s.h, s.doc_id ROWS UNBOUNDED PRECEDING) - s.size AS BIGINT) AS a
+  FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, n AS source_size, target, CAST(greatest(0, least(a + size, goal) - a) + greatest(0, least(a + n + size, goal) - a - n) AS BIGINT) AS taken FROM l
+"""

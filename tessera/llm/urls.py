@@ -28,7 +28,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 MAX_RULES = 1000
 #: Labelled pages that a template needs, the least smoothed share of blocked ones that rejects it, the weight of the prior in pages
 #: and what an unlabelled page adds to it, and how far apart like branches may lie: so many standard deviations of a share.
-MIN_LABELLED, MIN_PURITY, PRIOR_WEIGHT, UNLABELLED_WEIGHT, ALIKE = 5, 0.9, 2.0, 0.1, 2.0
+MIN_LABELLED, MIN_PURITY, PRIOR_WEIGHT, UNLABELLED_WEIGHT, ALIKE = 5, 0.9, 2.0, 0.02, 2.0
 #: Rejected branches are broadcast up to this number (some 40 bytes each), else joined by shuffle.
 BROADCAST_BRANCHES = 500_000
 VARIABLE = r"^(?:[0-9]+(?:\.[a-z]+)?|[0-9a-f]{12,}|.{40,})$"
@@ -154,7 +154,7 @@ WITH p AS (
 ), pt AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM tm
 ), mu AS (SELECT count(*) FILTER (WHERE v = 'block') / count(v) AS mu FROM g
 ), sm AS (
-  SELECT host, t[1:i] AS part, (sum(b) + (2.0 + 0.1 * (sum(n) - sum(l))) * (SELECT mu FROM mu)) / (sum(l) + (2.0 + 0.1 * (sum(n) - sum(l)))) >= 0.9 AS bad
+  SELECT host, t[1:i] AS part, (sum(b) + (2.0 + 0.02 * (sum(n) - sum(l))) * (SELECT mu FROM mu)) / (sum(l) + (2.0 + 0.02 * (sum(n) - sum(l)))) >= 0.9 AS bad
   FROM pt GROUP BY ALL HAVING sum(l) >= 5
 ), rj AS (
   SELECT pt.host, pt.segs, max_by(bad, i) AS bad FROM pt JOIN sm ON sm.host = pt.host AND sm.part = pt.t[1:i] GROUP BY pt.host, pt.segs

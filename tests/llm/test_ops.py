@@ -192,7 +192,7 @@ def test_targets():
 def test_mixing(docs, empty):
     def run(df):
         rows, parts = mixing.mix(clashing(df), ["doc_id"])
-        return sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], r["src"]) for r in mixing.taken_words(rows, parts).collect())
+        return sorted((r["keep"]["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], r["src"]) for r in mixing.taken_words(rows, parts).collect())
 
     got = run(docs)
     assert got == run(docs.repartition(5).orderBy(F.rand()))
