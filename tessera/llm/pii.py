@@ -1,14 +1,16 @@
 r"""Operator 9: personal data in whole texts.
 
-Regular expressions propose spans, validators (ranges, Luhn, mod-97) confirm them, and words before a span adjust the
-score of the kinds that the method adds (iban, ssn); the base kinds (email, ip, card, phone) stay whatever their score.
+Regular expressions propose spans, validators (ranges, Luhn, mod-97, mod-23) confirm them, and words in front of a span raise or
+lower its score. Of the kinds that the method adds (iban, nir, dni, ssn, secret) those stay whose score reaches ACCEPTED: what a
+checksum confirms needs no word beside it, what only has a form does, and a word that speaks against it rejects either. The base
+kinds (email, ip, card, phone) stay whatever their score; ``redacted`` may leave those of a low one alone.
 Only DataFrame functions are used. A span's place follows from what a split by the same expression leaves between hits.
 
-The expressions are those of the contract, written so that Java's engine neither rescans a run nor recurses: a run may
+The base expressions are those of the contract, written so that Java's engine neither rescans a run nor recurses: a run may
 start only where no character of its kind stands before it, or where the last hit ended (``\G``), and loops are possessive.
 
 Defined cases: null and empty texts hold nothing; repeated rows are searched and returned each; an empty table gives an
-empty result; other columns are kept by ``personal_data``.
+empty result; other columns are kept by ``personal_data`` but those whose names it gives to its own.
 """
 
 from __future__ import annotations
@@ -16,31 +18,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table
+from tessera.llm.common import let, own, quoted, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn")
+ADDED_KINDS = ("iban", "nir", "dni", "ssn", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
+#: What a national number looks like inside a run of letters and digits; a French one has sex, year, month, place and a key.
+FORMS = {"nir": "[12][0-9]{2}(?:0[1-9]|1[0-2])[0-9]{10}", "dni": "[0-9]{8}[A-Z]", "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "secret": "[0-9a-f]{32,64}"}
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
+    **{k: rf"(?<![0-9A-Za-z]){FORMS[k]}(?![0-9A-Za-z])" for k in ("nir", "dni", "secret")},
+    "ssn": rf"(?<![0-9-]){FORMS['ssn']}(?![0-9-])",
 }
-#: Score of a confirmed span, words that raise it when they stand in the CONTEXT characters before it, and by how much.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.6, "ssn": 0.3}
+#: Score of a confirmed span; words that raise or lower it when they stand in the CONTEXT characters before it, and by how much.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.6, "nir": 0.5, "dni": 0.3, "ssn": 0.3, "secret": 0.2}
 CONTEXT_WORDS = {
     "email": ("mail", "contact"),
     "ip": ("ip", "address", "host"),
     "card": ("card", "visa", "payment"),
     "phone": ("phone", "tel", "call"),
     "iban": ("iban", "account", "bank"),
+    "nir": ("insee", "nir", "social"),
+    "dni": ("dni", "nif", "identidad"),
     "ssn": ("ssn", "social security", "tax id"),
+    "secret": ("token", "secret", "key", "passw", "auth", "credential"),
 }
-CONTEXT, RAISED_BY, ACCEPTED = 40, 0.4, 0.5
+AGAINST_WORDS = {
+    **dict.fromkeys(("email", "card", "phone", "iban", "nir", "dni", "ssn"), ("example", "sample", "dummy")),
+    "ip": ("version", "release", "section"),
+    "secret": ("commit", "checksum", "sha1", "sha256", "md5", "digest", "etag"),
+}
+CONTEXT, RAISED_BY, LOWERED_BY, ACCEPTED = 40, 0.4, 0.4, 0.5
 CHUNK = 256
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value: check letters by the remainder
 
 
 def luhn(digits: Column) -> Column:
@@ -81,9 +96,24 @@ def confirmed(kind: str, hit: Column) -> Column:
         return F.length(F.regexp_replace(hit, "[^0-9]", "")).between(9, 15)
     if kind == "iban":
         return let(F.translate(hit, " ", ""), lambda x: F.length(x).between(15, 34) & mod97(x))
+    number = lambda a, n: F.substring(hit, a, n).cast("bigint")
+    if kind == "nir":
+        return 97 - number(1, 13) % 97 == number(14, 2)
+    if kind == "dni":
+        return F.substring(F.lit(DNI_LETTERS), (number(1, 8) % 23 + 1).cast("int"), F.lit(1)) == F.substring(hit, 9, 1)
+    if kind == "ssn":
+        return ~F.substring(hit, 1, 3).isin("000", "666") & (F.substring(hit, 1, 1) != "9") & (F.substring(hit, 5, 2) != "00") & (F.substring(hit, 8, 4) != "0000")
+    if kind == "secret":  # letters and digits
+        return hit.rlike("[0-9]") & hit.rlike("[a-f]")
     return F.lit(True)
 
 
+def stands_alone(text: Column, x: Column) -> Column:
+    """Whether no letter or digit stands at either side of a span."""
+    beside = lambda at: F.coalesce(F.substring(text, at, F.lit(1)).rlike("[0-9A-Za-z]"), F.lit(False))
+    return ~(F.when(x["start"] > 0, beside(x["start"])).otherwise(F.lit(False)) | beside(x["end"] + 1))
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """Array of struct(start, end, score) of the confirmed and accepted spans of a kind, in order."""
     pattern = PATTERNS[kind]
@@ -129,15 +159,19 @@ def spans_of(kind: str, text: Column) -> Column:
 
     def scored(x: Column) -> Column:
         first = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        before = F.lower(F.substring(text, first + 1, x["start"] - first))
-        near = F.lit(False)
-        for word in CONTEXT_WORDS[kind]:
-            near = near | F.contains(before, F.lit(word))
-        score = F.when(near, F.least(F.lit(1.0), F.lit(SCORES[kind] + RAISED_BY))).otherwise(F.lit(SCORES[kind]))
+        before = F.translate(F.substring(text, first + 1, x["start"] - first), UPPER, LOWER)
+
+        def says(words: tuple[str, ...]) -> Column:
+            return F.when(before.rlike("|".join(words)), 1.0).otherwise(0.0)
+
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + RAISED_BY * says(CONTEXT_WORDS[kind]) - LOWERED_BY * says(AGAINST_WORDS[kind])))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
     def found(hits: Column) -> Column:
-        good = F.transform(F.filter(placed(hits), lambda x: confirmed(kind, x["hit"])), scored)
+        good = F.filter(placed(hits), lambda x: confirmed(kind, x["hit"]))
+        if kind == "iban":
+            good = F.filter(good, lambda x: stands_alone(text, x))
+        good = F.transform(good, scored)
         if kind in ADDED_KINDS:
             good = F.filter(good, lambda x: x["score"] >= ACCEPTED)
         # no place is computed where no hit can pass
@@ -149,24 +183,28 @@ def spans_of(kind: str, text: Column) -> Column:
     return spans if may is None else F.when(may, spans).otherwise(none)
 
 
-def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds an array column ``pii_<kind>`` of struct(start, end, score) for each kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("*", *[spans_of(kind, t).alias(f"pii_{kind}") for kind in KINDS])
+def personal_data(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
+    """Adds an array column of struct(start, end, score) for each kind, named by prefix and kind, in place of columns of that name."""
+    t = F.coalesce(quoted(text), F.lit(""))
+    names = {kind: f"{prefix}{kind}" for kind in KINDS}
+    return docs.select(*own(docs, *names.values()), *[spans_of(kind, t).alias(name) for kind, name in names.items()])
 
 
-def joined(kinds: tuple[str, ...]) -> Column:
+def joined(kinds: tuple[str, ...], prefix: str = "pii_") -> Column:
     def shown(kind: str) -> Column:
-        return F.transform(F.col(f"pii_{kind}"), lambda x: F.concat(F.lit(f"{kind}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
+        return F.transform(F.col(f"{prefix}{kind}"), lambda x: F.concat(F.lit(f"{kind}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
 
     return F.array_join(F.concat(*[shown(k) for k in kinds]), ",")
 
 
-def redacted(text: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first names the place."""
+def redacted(text: Column, prefix: str = "pii_", least: float = 0.0) -> Column:
+    """The text with each span of a score of ``least`` or more replaced by its kind in angle brackets; of overlapping spans the first
+    names the place."""
 
     def tagged(kind: str) -> Column:
-        return F.transform(F.col(f"pii_{kind}"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("tag")))
+        spans = F.col(f"{prefix}{kind}")
+        spans = F.filter(spans, lambda x: x["score"] >= least) if least > 0 else spans
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("tag")))
 
     every = F.concat(*[tagged(k) for k in KINDS])
 
@@ -195,7 +233,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans are replaced by their kinds; n_chars follows the new text. A null text stays null."""
-    rows = personal_data(docs).withColumn("text", redacted(F.col("text"))).select(*docs.columns)
+    prefix = "pii_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    rows = personal_data(docs, prefix=prefix).withColumn("text", redacted(F.col("text"), prefix)).select(*own(docs))
     return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
@@ -209,7 +250,27 @@ WHERE {passes}"""
 
 
 _DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
-_IBAN = r"replace(hit, '' '', '''')"
+_COMPACT = "replace(hit, ' ', '')"
+_MOVED = f"substr({_COMPACT}, 5) || left({_COMPACT}, 4)"
+_REMAINDER = (
+    f"list_reduce(list_prepend(0, list_transform(string_split({_MOVED}, ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), "
+    "lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)"
+)
+
+
+def _sql_score(kind: str) -> str:
+    said = lambda words: f"CASE WHEN regexp_matches(before, '{'|'.join(words)}') THEN 1.0 ELSE 0.0 END"
+    return f"{SCORES[kind]}e0 + {RAISED_BY}e0 * {said(CONTEXT_WORDS[kind])} - {LOWERED_BY}e0 * {said(AGAINST_WORDS[kind])} >= {ACCEPTED}e0"
+
+
+def _sql_added(kind: str, pattern: str, passes: str) -> str:
+    """Spans of an added kind: proposed as whole runs, since this SQL's expressions can't look around."""
+    return f"""
+SELECT doc_id, kind, i, start, stop, hit, t FROM (
+  SELECT *, translate(t[greatest(start - {CONTEXT}, 0) + 1:start], '{UPPER}', '{LOWER}') AS before FROM ({_sql_spans(kind, pattern, passes)}))
+WHERE {_sql_score(kind)}"""
+
+
 SQL = (
     r"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ("
     + " UNION ALL ".join(
@@ -226,18 +287,26 @@ SQL = (
                 f"ELSE (CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) * 2) // 10 + (CAST({_DIGITS}[length({_DIGITS}) - k + 1] AS INT) * 2) % 10 END)) % 10 = 0",
             ),
             _sql_spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+            _sql_added(
+                "iban",
+                PATTERNS["iban"],
+                f"length({_COMPACT}) BETWEEN 15 AND 34 AND {_REMAINDER} = 1 AND NOT regexp_matches(CASE WHEN start > 0 THEN t[start] ELSE '' END || t[start + length(hit) + 1], '[0-9A-Za-z]')",
+            ),
+            _sql_added("nir", "[0-9A-Za-z]+", f"regexp_full_match(hit, '{FORMS['nir']}') AND 97 - TRY_CAST(left(hit, 13) AS BIGINT) % 97 = TRY_CAST(hit[14:15] AS BIGINT)"),
+            _sql_added("dni", "[0-9A-Za-z]+", f"regexp_full_match(hit, '{FORMS['dni']}') AND substr('{DNI_LETTERS}', TRY_CAST(left(hit, 8) AS BIGINT) % 23 + 1, 1) = right(hit, 1)"),
+            _sql_added("ssn", "[0-9-]+", f"regexp_full_match(hit, '{FORMS['ssn']}') AND left(hit, 3) NOT IN ('000', '666') AND hit[1] <> '9' AND hit[5:6] <> '00' AND hit[8:11] <> '0000'"),
+            _sql_added("secret", "[0-9A-Za-z]+", f"regexp_full_match(hit, '{FORMS['secret']}') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-f]')"),
         ]
     )
-    + r"""), j AS (
-  SELECT doc_id, kind, i, start, stop FROM s
-), a AS (
+    + f"""), a AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
     count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY CASE kind WHEN 'email' THEN 1 WHEN 'ip' THEN 2 WHEN 'card' THEN 3 ELSE 4 END, start) AS base
-  FROM j GROUP BY doc_id
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY list_position({list(KINDS)}, kind), start) FILTER (WHERE kind IN {BASE_KINDS}) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY list_position({list(KINDS)}, kind), start) AS spans
+  FROM s GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(base, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (doc_id)
 """
 )

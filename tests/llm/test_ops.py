@@ -121,10 +121,41 @@ def brute_pii(text):
     return ",".join(out)
 
 
+def brute_added(text):
+    """Spans of the added kinds, by a plain reading of their definitions."""
+    t, out = text or "", []
+
+    def nir(h):
+        return bool(re.fullmatch(pii.FORMS["nir"], h)) and 97 - int(h[:13]) % 97 == int(h[13:])
+
+    def iban(h):
+        c = h.replace(" ", "")
+        return 15 <= len(c) <= 34 and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+    runs = {
+        "iban": (pii.PATTERNS["iban"], iban),
+        "nir": ("[0-9A-Za-z]+", nir),
+        "dni": ("[0-9A-Za-z]+", lambda h: bool(re.fullmatch("[0-9]{8}[A-Z]", h)) and pii.DNI_LETTERS[int(h[:8]) % 23] == h[8]),
+        "ssn": ("[0-9-]+", lambda h: bool(re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", h)) and h[:3] not in ("000", "666") and h[0] != "9" and h[4:6] != "00" and h[7:] != "0000"),
+        "secret": ("[0-9A-Za-z]+", lambda h: bool(re.fullmatch("[0-9a-f]{32,64}", h)) and bool(re.search("[0-9]", h)) and bool(re.search("[a-f]", h))),
+    }
+    for kind, (pattern, ok) in runs.items():
+        for m in re.finditer(pattern, t):
+            beside = t[max(0, m.start() - 1) : m.start()] + t[m.end() : m.end() + 1]
+            before = t[max(0, m.start() - pii.CONTEXT) : m.start()].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+            score = pii.SCORES[kind] + pii.RAISED_BY * any(w in before for w in pii.CONTEXT_WORDS[kind]) - pii.LOWERED_BY * any(w in before for w in pii.AGAINST_WORDS[kind])
+            if ok(m[0]) and (kind != "iban" or not re.search("[0-9A-Za-z]", beside)) and score >= pii.ACCEPTED - 1e-12:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 PII = [
     None, "", "mail a.b@c.de or x@y, z_@q.r.s_t@u.vw 😀 e@f.gh", "1.2.3.4.5 256.1.1.1 0001.2.3.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112, 79927398713 378282246310005",
     "+49 (0)30 1234567. +1 23 +123456789012345678", "a@" * 50, "a" * 40000 + "@b.c", "1" * 30000, "+1" + " " * 30000, ("p@q.rs " * 700), "5 5 5 5", "x@y.z@w.v", "+12345678901@a.bc 1.1.1.1@d.ef",
     "IBAN DE89370400440532013000 or DE89370400440532013001, ssn 123-45-6789 but 123-45-6780 too", "é" * 50 + " ä@b.co ü", "1-" * 9000,
+    f'token = "{HEX}"', f"commit {HEX} of the api key", f"x{HEX} key {HEX}z token {HEX[:31]} {'key ' + 'a' * 40} auth {HEX[:32]}", "é DE89 3704 0440 0532 0130 00. sample iban GB82 WEST 1234 5698 7654 32 GB82WEST12345698765432",
+    "nir 255081416802538 or 255081416802539, 255081416802538x", "DNI 12345678Z, 12345678A. " + "x" * 50 + " 12345678Z", "SSN 000-12-3456 666-12-3456 912-12-3456 123-00-4567 123-45-0000 123-45-6789 1123-45-6789 123-45-67890", "tax id " + "9" * 50 + " 123-45-6789",
 ]
 
 
@@ -135,12 +166,17 @@ def test_pii(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r["base"] == brute_pii(PII[r["doc_id"]]), r["doc_id"]
-        assert r["all"].startswith(r["base"])
+        assert r["all"] == ",".join(x for x in [r["base"], *brute_added(PII[r["doc_id"]])] if x), r["doc_id"]
     by = {r["doc_id"]: r for r in got}
     iban = PII[14].index("DE89")
     assert f"iban:{iban}:{iban + 22}" in by[14]["all"] and by[14]["all"].count("iban") == 1 and by[14]["all"].count("ssn") >= 1
     assert by[3]["red"] == "<IP>.5 256.1.1.1 <IP> 1.2.3" and by[0]["red"] is None and by[1]["red"] == ""
+    assert sum("secret" in r["all"] for r in got) == 2 and "nir" in by[21]["all"] and by[22]["all"].count("dni") == 1 and by[23]["all"].count("ssn") == 0 and by[14]["all"].count("ssn") == 2
+    df = df.withColumns({"pii_email": F.lit("kept"), "PII__ip": F.lit(3)})
     out = pii.stage(spark, df, "")
+    assert {r["pii_email"] for r in out.collect()} == {"kept"}
+    low = pii.personal_data(spark.createDataFrame([("version 1.2.3.4, host 1.2.3.4",)], "text string")).select(pii.redacted(F.col("text"), least=0.5).alias("t")).first()
+    assert low["t"] == "version 1.2.3.4, host <IP>"
     assert out.columns == df.columns and out.where("doc_id = 3").first()["n_chars"] == len(by[3]["red"])
     assert pii.stage(spark, spark.createDataFrame([], DOCS), "").count() == 0
 
