@@ -341,7 +341,11 @@ def test_vectors(spark):
         rows.append((n, v, 1))
         n += 1
     rows += [rows[0], rows[0]]
-    good = [(i, np.array(v), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8]
+    tiny = [2.0**-140, 0.0, 2.0**-141]
+    for v in (tiny, [x * 2 for x in tiny], [1.0] * 3, [2.0] * 3, [3e38, 0.0, 1e38], [3e38, 0.0, 1.1e38]):  # of a rarer length, very small and large
+        rows.append((n, v, 1))
+        n += 1
+    good = [(i, np.array(v) / np.abs(v).max(), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links, up = collections.Counter(), {r[0]: r[0] for r in rows}
 
     def find(x):
@@ -351,7 +355,7 @@ def test_vectors(spark):
 
     for x, (i, v, a) in enumerate(good):
         for y, (j, w, b) in enumerate(good):
-            if x != y and a == b and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93:
+            if x != y and a == b and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93:
                 links[x] += 1
                 p, q = find(i), find(j)
                 up[max(p, q)] = min(p, q)
@@ -363,7 +367,12 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_forest_recall(spark):
+@pytest.mark.parametrize("leaf", [400, 40])
+def test_forest_recall(spark, monkeypatch, leaf):
+    """With small leaves the sample allows fewer levels than are needed, so leaves are split again."""
+    if leaf < 400:
+        for name, v in (("LEAF", leaf), ("LARGE_LEAF", 2 * leaf), ("SAMPLE", 200), ("LEAF_SAMPLE", 300), ("SUBTREE", 2), ("BLOCK", 50)):
+            monkeypatch.setattr(vectors, name, v)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((700, 32))
     x = np.concatenate([c + rng.standard_normal((4, 32)) * 0.2 for c in centres])
