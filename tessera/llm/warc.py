@@ -1,12 +1,13 @@
 r"""Operator 5: WARC archives, written in deterministic shards and read back.
 
-Records are sorted by range of their key into shards whose bounds follow from the sizes alone; a shard's writer rolls to a
-next file once the compressed size is reached; headers and digests are made anew. A file is written under a temporary
-name and renamed, so a task that is run again replaces its files by equal ones; a manifest of all files is stored last,
-and readers take the files of the manifest only.
+Records are sorted by range of their key into shards whose bounds follow from keys and sizes alone: a histogram of equal ranges, in
+which ranges that hold too many bytes are cut again, and a single key with too many by its payloads. A shard's writer rolls to a next
+file once the compressed size is reached; headers and digests are made anew. A file is written under a temporary name and renamed, so a
+task that is run again replaces its files by equal ones; a manifest of all files is stored last, and readers open the files of the
+manifest only, so neither a listing nor the manifest is gathered anywhere.
 
-Equal payloads of at least ``min_bytes`` bytes are stored once: the record with the smallest key is the response, the
-others are revisits that refer to it.
+Equal payloads of at least ``min_bytes`` bytes are stored once: the record with the smallest key is the response, the others are
+revisits that refer to it, and of which no payload is shuffled.
 
 Defined cases: a null payload is empty; null keys sort first, and a null key is no target of a revisit unless all keys of
 its payload are null; of rows that repeat the smallest key of a payload one is the response and the rest revisit it; a null
@@ -25,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, stored, table
+from tessera.llm.common import fresh_path, quoted, stored, table
 
-#: Compressed bytes after which a file is closed, and ranges that a histogram of keys has.
-FILE_BYTES, RANGES = 32 << 20, 4096
+#: Compressed bytes after which a file is closed, ranges that the histogram of keys has, and parts that a too large range is cut into
+#: for each shard that it fills.
+FILE_BYTES, RANGES, PARTS = 32 << 20, 4096, 4
 #: Shards that an archive is dealt over, and the least and most payload bytes of one.
 SHARDS, SHARD_BYTES = 64, (4 << 20, 1 << 30)
 #: Payloads that occur again are broadcast up to this number (some 80 bytes each), else joined by shuffle.
 BROADCAST_PAYLOADS = 500_000
+#: Tasks that read an archive at most.
+READ_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 MIN_BYTES = 0
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -46,9 +50,9 @@ def record_id(key: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{key}')}>"
 
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
-    """One gzip member with a response or revisit record."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(key: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
+    """One gzip member with a response or revisit record; ``size`` and ``digest`` are the payload's, which a revisit leaves out."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     head = [
         "WARC/1.1",
@@ -67,7 +71,7 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, refers
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: {record_id(refers_to)}",
             f"X-Refers-To-Key: {'' if refers_to is None else refers_to}",
-            f"X-Payload-Length: {len(payload)}",
+            f"X-Payload-Length: {size}",
         ]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -109,39 +113,88 @@ class _Folder:
 MANIFEST = "shard long, name string, records long, bytes long, sha1 string"
 
 
-def plan(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int) -> DataFrame:
-    """(key, url, payload, first, big, same, shard) for each row: first is the key that a record of this payload refers to."""
-    spark = pages.sparkSession
-    text = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), text.alias("payload"))
-    light = rows.select("key", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("same"))
-    light = stored(light, "payloads")
+class Shards:
+    """Ranges of keys, in order, with about equal sums of sizes: ``of`` gives a row's shard. The driver holds a few numbers for each range:
+    RANGES, and PARTS for each shard that a larger range fills."""
+
+    def __init__(self, light: DataFrame, fewest: int = SHARDS, bounds: tuple[int, int] = SHARD_BYTES) -> None:
+        self.spark, self.rounds = light.sparkSession, []
+        low, high, total, nulls = light.agg(F.min("key"), F.max("key"), F.sum("size"), F.sum(F.when(F.col("key").isNull(), F.col("size")))).first()
+        most = min(max((total or 0) // fewest, bounds[0]), bounds[1])
+        self.kind = "bigint" if low is None or high - low < 1 << 63 else "decimal(20,0)"
+        ranges = {0: (None, 1, nulls or 0)}  # name: lowest key, keys, bytes; the first holds null keys
+        todo, name = ({1: (low, high - low + 1, RANGES)} if low is not None else {}), 2
+        while todo:
+            cuts = {r: (a, -(-n // parts)) for r, (a, n, parts) in todo.items()}
+            table = self.spark.createDataFrame([(r, a, step) for r, (a, step) in cuts.items()], "r long, low long, step long")
+            sums = self._cut(self._placed(light), table).where("step is not null").groupBy("r", "at").agg(F.sum("size").alias("bytes")).collect()
+            children, larger = [], {}
+            for x in sorted(sums, key=lambda x: (x["r"], x["at"])):
+                a, step = cuts[x["r"]]
+                lowest = a + x["at"] * step
+                n = min(step, todo[x["r"]][0] + todo[x["r"]][1] - lowest)
+                children.append((x["r"], x["at"], name))
+                if x["bytes"] > most and n > 1:
+                    larger[name] = (lowest, n, PARTS * (x["bytes"] // most + 1))
+                else:
+                    ranges[name] = (lowest, n, x["bytes"])
+                name += 1
+            self.rounds.append((table, self.spark.createDataFrame(children, "r long, at long, name long")))
+            todo = larger
+        out, shard, filled = [], 0, 0
+        for r, (_, _, size) in sorted(ranges.items(), key=lambda x: (x[1][0] is not None, x[1][0] or 0)):
+            parts = -(-size // most) if size > most else 1  # a single key: dealt by payloads
+            if filled and filled + size > most:
+                shard, filled = shard + 1, 0
+            out.append((r, shard, parts))
+            shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + size)
+        self.count = shard + 1
+        self.table = self.spark.createDataFrame(out, "r long, first long, parts int")
+
+    def _cut(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        at = F.expr(f"cast((cast(key as {self.kind}) - low) div step as bigint)")
+        return rows.join(F.broadcast(table), "r", "left").withColumn("at", at)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        names = rows.columns
+        rows = rows.withColumn("r", F.when(F.col("key").isNull(), 0).otherwise(1).cast("long"))
+        for table, children in self.rounds:
+            rows = self._cut(rows, table).join(F.broadcast(children), ["r", "at"], "left").select(*names, F.coalesce("name", "r").alias("r"))
+        return rows
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Adds ``shard`` to rows with key and same, and ``slot``, whose hash puts each shard into a partition of its own."""
+        found = self._placed(rows).join(F.broadcast(self.table), "r").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("same"), "parts"))
+        ids = self.spark.range(32 * self.count)
+        slots = ids.groupBy(F.pmod(F.hash("id"), F.lit(self.count)).cast("long").alias("shard")).agg(F.min("id").alias("slot"))
+        return found.join(F.broadcast(slots), "shard", "left").select(*rows.columns, "shard", F.coalesce("slot", F.lit(-1)).alias("slot"))
+
+
+def plan(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int) -> tuple[DataFrame, int]:
+    """((key, url, payload, size, sha1, first, again, same, shard, slot) for each row, number of shards). ``first`` is the key that a
+    record of this payload refers to; rows that can only be revisits have a digest instead of a payload."""
+    text = F.coalesce(quoted(payload), F.lit(""))
+    rows = pages.select(quoted(key).cast("long").alias("key"), quoted(url).alias("url"), text.alias("payload"))
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "same": F.sha2("payload", 256)})
+    light = stored(rows.select("key", "size", "same"), "payloads")
     repeated = light.where(F.col("size") >= min_bytes).groupBy("same").agg(F.min("key").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = stored(repeated.select("same", "_first", F.lit(True).alias("_again")), "repeated")
-    # shards: ranges of keys with about equal sums of sizes, from a histogram with at most RANGES ranges
-    low, high, total = light.agg(F.min("key"), F.max("key"), F.sum("size")).first()
-    step = 1 if low is None else max(1, (high - low) // RANGES + 1)
-    at = F.when(F.col("key").isNull(), -1).otherwise(F.floor((F.col("key") - F.lit(low or 0)) / step)).cast("long")
-    shard_bytes = min(max((total or 0) // SHARDS, SHARD_BYTES[0]), SHARD_BYTES[1])
-    histogram = light.groupBy(at.alias("at")).agg(F.sum("size").alias("s")).orderBy("at").collect()
-    shards, sofar = [], 0
-    for r in histogram:
-        shards.append((r["at"], sofar // shard_bytes))
-        sofar += r["s"]
-    shards = spark.createDataFrame(shards or [(0, 0)], "at long, shard long")  # at most RANGES + 1 rows
-    rows = rows.withColumns({"at": at, "same": F.sha2("payload", 256)}).join(F.broadcast(shards), "at")
+    shards = Shards(light)
+    # a payload with many copies is one key of the join: broadcast while there are not too many payloads, then by shuffle
     if repeated.count() <= BROADCAST_PAYLOADS:
         repeated = F.broadcast(repeated)
-    rows = rows.join(repeated, "same", "left")
-    first = F.when(F.col("_again"), F.col("_first")).otherwise(F.col("key"))
-    return rows.select("key", "url", "payload", first.alias("first"), F.coalesce("_again", F.lit(False)).alias("again"), "same", "shard")
+    rows = shards.of(rows).join(repeated, "same", "left")
+    again, first = F.coalesce("_again", F.lit(False)), F.when(F.col("_again"), F.col("_first")).otherwise(F.col("key"))
+    only = again & ~F.col("key").eqNullSafe(F.col("_first"))
+    return rows.select(
+        "key", "url", F.when(~only, F.col("payload")).alias("payload"), "size", F.when(only, F.sha1(F.col("payload").cast("binary"))).alias("sha1"), first.alias("first"), again.alias("again"), "same", "shard", "slot"
+    ), shards.count
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archive below ``path`` (a URI that executors reach) and returns its manifest, stored below it."""
-    todo = plan(pages, key, url, payload, min_bytes)
-    n = todo.agg(F.max("shard")).first()[0]
-    dealt = todo.repartition(max(1, (n or 0) + 1), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "same")
+    todo, n = plan(pages, key, url, payload, min_bytes)
+    dealt = todo.repartition(n, "slot").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, shard, part, out, count, done = None, None, 0, [], 0, []
@@ -161,10 +214,14 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
                 if r["shard"] != shard:
                     close()
                     shard, part, last = r["shard"], 0, None
-                data = r["payload"].encode("utf-8", "surrogatepass")
                 is_first = r["key"] == r["first"] and last != (r["key"], r["same"])
                 last = (r["key"], r["same"])
-                out.append(record(r["key"], r["url"], data, b32_sha1(data), r["first"], r["again"] and not is_first))
+                if r["payload"] is None:
+                    data, digest = b"", base64.b32encode(bytes.fromhex(r["sha1"])).decode()
+                else:
+                    data = r["payload"].encode("utf-8", "surrogatepass")
+                    digest = b32_sha1(data)
+                out.append(record(r["key"], r["url"], data, r["size"], digest, r["first"], r["again"] and not is_first))
                 count, written = count + 1, written + len(out[-1])
                 if written >= file_bytes:
                     close()
@@ -172,7 +229,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "name", "records", "bytes", "sha1"), x, strict=True)) for x in done], pa.schema([("shard", pa.int64()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
     manifest = f"{path}/manifest"
-    dealt.select("key", "url", "payload", "first", "again", "same", "shard").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(manifest)
+    dealt.select("key", "url", "payload", "size", "sha1", "first", "again", "same", "shard").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(manifest)
     return pages.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
@@ -183,10 +240,15 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     """Reads the archive's records; block digests are checked, a response's payload digest is computed anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         schema = pa.schema([("key", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
         number = lambda x: int(x) if x else None
+        store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, data, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as f:
+                    data = f.read()
                 if hashlib.sha1(data).hexdigest() != want:
                     raise ValueError(f"{name} is not the file of the manifest")
                 out = []
@@ -204,11 +266,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
 
     listed = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("name", "sha1")
-    if not listed.limit(1).count():
-        return spark.createDataFrame([], READ)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.join(F.broadcast(listed), "name").select("name", "content", "sha1").mapInArrow(run, READ)
+    # a task opens a few whole files of a bounded size, one after the other
+    return listed.repartition(min(max(listed.count(), 1), READ_TASKS), "name").mapInArrow(run, READ)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

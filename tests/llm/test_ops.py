@@ -412,6 +412,24 @@ def test_warc(spark, tmp_path):
     assert warc.write(df.limit(0), f"file://{tmp_path}/c").count() == 0 and warc.read(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_shards_follow_sizes_whatever_the_keys(spark):
+    """An outlying key, a key with many payloads and null keys leave no shard above the bound; shards are ranges in order."""
+    keys = [*range(2000), 10**15, -(2**63), 2**63 - 1, *[777] * 300, *[None] * 100]
+    light = spark.createDataFrame([(k, 100, f"p{i}") for i, k in enumerate(keys)], "key long, size long, same string")
+    shards = warc.Shards(light, fewest=1, bounds=(1000, 2000))
+    rows = shards.of(light).collect()
+    assert len(rows) == len(keys)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    assert max(len(x) for k, x in by.items() if {r["key"] for r in x} - {777, None}) <= 20 and max(len(x) for x in by.values()) <= 45
+    order = [r["key"] for r in sorted(rows, key=lambda r: (r["shard"], r["key"] is not None, r["key"] or 0))]
+    assert order == sorted(keys, key=lambda k: (k is not None, k or 0))
+    slots = {r["shard"]: r["slot"] for r in rows}
+    assert len(set(slots.values())) == len(slots) and max(slots) < shards.count
+    assert warc.Shards(light.limit(0)).of(light.limit(0)).count() == 0
+
+
 # 1
 
 
