@@ -23,6 +23,9 @@ from tessera.sources.storage import Space
 OPEN_END = 9223372036854775807
 #: A closure's iteration doubles if that makes at most so many rows, and so many times the known facts.
 DOUBLING_ROWS, DOUBLING_TIMES = 50_000_000, 16
+#: Tables that a relation is the union of, changes that the feed holds as plans, and new facts that are broadcast to look up known ones, at
+#: most; beyond that tables are stored as one, and facts are joined by shuffle.
+MOST_PARTS, MOST_CHANGES, BROADCAST_FACTS = 16, 128, 100_000
 
 
 @dataclass
@@ -33,6 +36,8 @@ class Base:
     parts: list[DataFrame] = field(default_factory=list)
     pending: list[DataFrame] = field(default_factory=list)
     shrunk: bool = False
+    #: joins that removals have put on the parts since they were stored
+    removals: int = 0
 
 
 @dataclass
@@ -67,6 +72,8 @@ class Engine:
         self.dirty: set[str] = set()
         self.clock_moved = False
         self.feed: list[tuple[int, str, str, DataFrame]] = []
+        self.old_feed: DataFrame | None = None
+        self.steps: dict[str, int] = {}
         self.last_demand_facts = 0
         self.last_iterations = 0
         self._types: dict[str, list[str | None]] | None = None
@@ -186,7 +193,31 @@ class Engine:
     def _remove(self, pred: str, left: list[DataFrame], gone: DataFrame) -> None:
         base = self.base[pred]
         base.parts, base.pending, base.shrunk = left, [], True
-        self.feed.append((self.epoch, "Retracted", pred, gone.select(*[f"p{i}" for i in range(len(base.types))]).distinct()))
+        base.removals += 1
+        self._compact(base)
+        self._report((self.epoch, "Retracted", pred, gone.select(*[f"p{i}" for i in range(len(base.types))]).distinct()))
+
+    def _compact(self, base: Base) -> None:
+        """Stores a relation that has become a union of many tables, or has many removals, as one table."""
+        if not base.pending and (len(base.parts) > MOST_PARTS or base.removals > MOST_PARTS):
+            base.parts, base.removals = [self.space.stored(self._union(base.parts, base.types))], 0
+
+    def _report(self, entry: tuple[int, str, str, DataFrame]) -> None:
+        """Adds to the feed; older changes are stored as one table."""
+        self.feed.append(entry)
+        if len(self.feed) > MOST_CHANGES:
+            self.old_feed, self.feed = self.space.stored(self.changes_from(0)), []
+
+    def _unknown(self, pred: str, base: Base) -> DataFrame:
+        """Of the facts that wait the ones that weren't known, keys only and each once."""
+        new = self._keys(pred, self._union(base.pending, base.types)).distinct()
+        known = base.parts[: len(base.parts) - len(base.pending)]
+        if not known or not base.types:
+            return new
+        new = self.space.stored(new)
+        few = new.count() <= BROADCAST_FACTS
+        had = self._keys(pred, self._union(known, base.types)).join(F.broadcast(new) if few else new, new.columns, "left_semi").distinct()
+        return self.space.stored(new.join(had, new.columns, "left_anti"))
 
     # rules
 
@@ -340,13 +371,17 @@ class Engine:
         rules = [c for c in self.rules() if c.head.pred not in lazy]
         changes: dict[str, Change] = {}
         for pred, base in self.base.items():
+            new = self._unknown(pred, base) if base.pending else None
             if base.shrunk:
                 changes[pred] = Change(self._empty(types[pred]), self._empty(types[pred]))
             elif base.pending:
-                changes[pred] = Change(self._typed(self._union(base.pending, base.types), base.types, types[pred]))
-            if base.pending:
-                self.feed.append((self.epoch, "Added", pred, self._keys(pred, self._union(base.pending, base.types)).distinct()))
+                # a known fact may come with a better annotation
+                delta = self._union(base.pending, base.types) if self.semiring.columns else new
+                changes[pred] = Change(self._typed(delta, base.types, types[pred]))
+            if new is not None:
+                self._report((self.epoch, "Added", pred, new))
             base.pending, base.shrunk = [], False
+            self._compact(base)
         facts = {c.head.pred for c in self.clauses() if c.is_fact} & self.dirty
         for pred in facts:
             changes[pred] = Change(self._empty(types[pred]), self._empty(types[pred]))
@@ -355,7 +390,7 @@ class Engine:
             gone = self.derived.pop(pred)
             if pred in types:
                 changes[pred] = Change(self._empty(types[pred]), gone)
-            self.feed.append((self.epoch, "Retracted", pred, self._only_keys(gone)))
+            self._report((self.epoch, "Retracted", pred, self._only_keys(gone)))
         clocked = self._clock_readers() if self.clock_moved and self.refresh_on_clock else set()
         report: dict[str, int] = {}
         self.last_iterations = 0
@@ -373,11 +408,14 @@ class Engine:
                 new = self._fixpoint(group, own, {q: changes[q].added for q in moved}, old)
                 for p, (full, delta) in new.items():
                     self.derived[p] = full
+                    self.steps[p] = self.steps.get(p, 0) + 1
+                    if self.steps[p] > MOST_PARTS:
+                        self.derived[p], self.steps[p] = self.space.stored(full), 0
                     n = delta.count()
                     if n:
                         changes[p] = Change(self._union([changes[p].added, delta], types[p]) if p in changes else delta)
                         report[p] = n
-                        self.feed.append((self.epoch, "Added", p, self._only_keys(delta)))
+                        self._report((self.epoch, "Added", p, self._only_keys(delta)))
                 continue
             new = self._fixpoint(group, own, None, {})
             for p, (full, _) in new.items():
@@ -387,12 +425,12 @@ class Engine:
                 removed = before.join(full, keys, "left_anti") if keys else before
                 n = full.count() if old[p] is None else added.count()
                 lost = 0 if old[p] is None else removed.limit(1).count()
-                self.derived[p], self.derived_types[p] = full, types[p]
+                self.derived[p], self.derived_types[p], self.steps[p] = full, types[p], 0
                 if n:
                     report[p] = n
-                    self.feed.append((self.epoch, "Added", p, self._only_keys(added)))
+                    self._report((self.epoch, "Added", p, self._only_keys(added)))
                 if lost:
-                    self.feed.append((self.epoch, "Retracted", p, self._only_keys(removed)))
+                    self._report((self.epoch, "Retracted", p, self._only_keys(removed)))
                 same = not n and not lost and not self.semiring.columns
                 if not same:
                     annotated = bool(self.semiring.columns) and old[p] is not None
@@ -594,7 +632,7 @@ class Engine:
     def fork(self) -> "Engine":
         """An engine with the same facts and rules; what is done to it doesn't reach this one."""
         side = Engine(self.spark, self.semiring, self.now, self.refresh_on_clock)
-        side.base = {p: Base(list(b.types), list(b.parts), list(b.pending), b.shrunk) for p, b in self.base.items()}
+        side.base = {p: Base(list(b.types), list(b.parts), list(b.pending), b.shrunk, b.removals) for p, b in self.base.items()}
         side.rows = {p: list(r) for p, r in self.rows.items()}
         side.derived, side.derived_types = dict(self.derived), dict(self.derived_types)
         side.batches, side.counter, side.epoch = list(self.batches), self.counter, self.epoch
@@ -621,7 +659,7 @@ class Engine:
 
     def changes_from(self, epoch: int) -> DataFrame:
         """The feed since an epoch, inclusive: (epoch, kind, pred, args) with args as a JSON array."""
-        parts = []
+        parts = [] if self.old_feed is None else [self.old_feed.where(F.col("epoch") >= epoch)]
         for e, kind, pred, df in self.feed:
             if e >= epoch:
                 text = F.to_json(F.array(*[self._shown(df, c) for c in df.columns]))
