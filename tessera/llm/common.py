@@ -83,22 +83,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys with many rows that a join broadcasts at most: a key counts as such with one part in so many of all rows.
+HEAVY_KEYS, HEAVY_ROWS = 50_000, 16
+
+
+def heavy_keys(rows: DataFrame, key: str, total: int) -> tuple[DataFrame, int]:
+    """The keys that hold a large part of ``total`` rows, and their number, at most HEAVY_KEYS."""
+    least = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    often = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_often")).where(F.col("_often") >= least).select(key), "heavy")
+    return often, often.count()
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, heavy: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Inner join of stored ``rows`` (``total`` of them) with a table that has one row for each key.
+
+    Rows of a frequent key would meet in one task. Such keys, at most HEAVY_KEYS by their count, are broadcast with their row of
+    ``unique``; all other rows are joined by shuffle. ``heavy``: what ``heavy_keys`` gives for the rows, if it is known."""
+    often, n = heavy or heavy_keys(rows, key, total)
+    if not n:
+        return rows.join(unique, key)
+    values = [c for c in unique.columns if c != key]
+    known = unique.join(F.broadcast(often), key, "left_semi").select(key, F.struct(*values).alias("_heavy"))
+    marked = rows.join(F.broadcast(known), key, "left")
+    near = marked.where("_heavy is not null").select(*rows.columns, *[F.col(f"_heavy.{c}").alias(c) for c in values])
+    return near.unionByName(marked.where("_heavy is null").drop("_heavy").join(unique, key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges(a, b)``: returns (node, component).
 
     Minimum labels spread along the links, and each round also replaces a label by the label of the node it
-    names (pointer jumping), so rounds grow with the logarithm of the longest chain. Each round is stored.
+    names (pointer jumping), so rounds grow with the logarithm of the longest chain. Each round is stored. The
+    links of a node with many, and the nodes of a large component, are spread over tasks.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y")
     both = stored(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "cc-edges")
     labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("label")), "cc-labels")
+    links, nodes = both.count(), labels.count()
+    heavy = heavy_keys(both, "y", links)
     while True:
         at = labels.select(F.col("node").alias("y"), F.col("label").alias("there"))
-        near = both.join(at, "y").groupBy(F.col("x").alias("node")).agg(F.min("there").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("hop"))
+        near = join_unique(both, at, "y", links, heavy).groupBy(F.col("x").alias("node")).agg(F.min("there").alias("near"))
+        low = stored(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("hop")), "cc-low")
         up = labels.select(F.col("node").alias("hop"), F.col("label").alias("root"))
-        step = low.join(up, "hop").select("node", "was", F.least("hop", "root").alias("label"))
-        step = stored(step, "cc-step")
+        step = stored(join_unique(low, up, "hop", nodes).select("node", "was", F.least("hop", "root").alias("label")), "cc-step")
         changed = step.where("label <> was").limit(1).count()
         labels = step.select("node", "label")
         if not changed:

@@ -8,8 +8,8 @@ the threshold is confirmed on the full sets.
 
 Inside a bucket no pairs of all members are made. First each member meets the bucket's leader, and links are joined to
 components. Only members of different components of a bucket may still add a link: they meet in blocks of bounded size,
-where sketches are compared as arrays, the few promising pairs are confirmed on the full sets, and only links that join
-components leave the task. A pair meets in the first band that it shares.
+where sketches are compared as arrays. Texts follow only for the rows of a block that have a promising pair there; such pairs are
+confirmed on the full sets, and only links that join components leave the task. A pair meets in the first band that it shares.
 
 Defined cases: null or empty texts, and those of spaces only, have an empty set and link with nothing; rows without an id are
 returned without a component and aren't kept; repeated rows are copies of a class and all returned; a long text is taken whole; an empty table gives an empty result.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, small_batches, stored, table
+from tessera.llm.common import connected_components, join_unique, small_batches, stored, table
 
 #: BANDS bands of BAND_ROWS registers. At similarity 0.8 all bands differ with a probability below 2e-5, at 0.85 below 5e-7.
 BANDS, BAND_ROWS = 26, 5
@@ -220,7 +220,7 @@ class _Block:
         self.band = rows[0][3]
         part = np.array([r[4] for r in rows])
         self.sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
-        self.texts = [r[6] for r in rows]
+        self.texts = [r[6] for r in rows] if len(rows[0]) > 6 else []
         self.left, self.right, self.same = np.nonzero(part == i)[0], np.nonzero(part == j)[0], i == j
 
     def candidates(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -273,29 +273,51 @@ class _Block:
                 yield int(self.rep[p]), int(self.rep[q])
 
 
-def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) inside buckets between different components, from rows (key, i, j, rep, component, n, band, part, sketch, text)."""
+_ROW = ("key", "i", "j", "rep", "component", "n", "band", "part", "sketch")
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((key, i, j), rows) of sorted batches whose first three columns are key, i, j."""
+    held, at = [], None
+    for whole in batches:
+        for low in range(0, whole.num_rows, SLICE):
+            for key, i, j, *row in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
+                if (key, i, j) != at:
+                    if at is not None:
+                        yield at, held
+                    held, at = [], (key, i, j)
+                held.append(tuple(row))
+    if at is not None:
+        yield at, held
+
+
+def block_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, i, j, rep, component, n, band, part, sketch) of blocks that have a promising pair there, once each."""
+    columns = "key long, i int, j int, rep long, component long, n long, band int, part int, sketch binary"
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, at = _Words(), [], None
+        for (key, i, j), held in _each_block(batches):
+            found = [x for pair in _Block(held, i, j).candidates(percent) for x in pair] if len(held) > 1 else []
+            if found:
+                some = [(key, i, j, *held[k]) for k in np.unique(np.concatenate(found)).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=list(_ROW))
 
-        def out() -> pa.RecordBatch:
-            links = list(_Block(held, *at[1:]).links(width, percent, words)) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return dealt.select(*_ROW).mapInArrow(run, columns)
 
-        for whole in batches:
-            for low in range(0, whole.num_rows, SLICE):
-                for key, i, j, *row in zip(*(c.to_pylist() for c in whole.slice(low, SLICE).columns), strict=True):
-                    if (key, i, j) != at:
-                        if at is not None:
-                            yield out()
-                        held, at = [], (key, i, j)
-                    held.append(tuple(row))
-        if at is not None:
-            yield out()
+
+def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) inside buckets between different components, from rows of ``block_candidates`` with their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for (_, i, j), held in _each_block(batches):
+            links = list(_Block(held, i, j).links(width, percent, words)) if len(held) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return dealt.select("key", "i", "j", "rep", "component", "n", "band", "part", "sketch", "text").mapInArrow(run, "a long, b long")
+    return dealt.select(*_ROW, "text").mapInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,10 +325,12 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id
 
     ``classes``: (rep, n, sketch) with a unique rep whose text docs hold."""
     bands = classes.select("rep", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    bands = bands.select("rep", "n", "band", F.xxhash64(F.col("band"), F.expr(f"substring(sketch, band * {BAND_ROWS} + 1, {BAND_ROWS})")).alias("key"))
+    bands = bands.select("rep", "band", F.xxhash64(F.col("band"), F.expr(f"substring(sketch, band * {BAND_ROWS} + 1, {BAND_ROWS})")).alias("key"))
     order = F.struct(F.xxhash64("rep").alias("o"), F.col("rep").alias("leader"))
     leaders = bands.groupBy("key").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    bands = stored(bands.join(leaders.select("key", F.col("m.leader").alias("leader")), "key"), "bands")
+    leaders = stored(leaders.select("key", F.col("m.leader").alias("leader")), "leaders")
+    bands = stored(bands, "all-bands")
+    bands = stored(join_unique(bands, leaders, "key", bands.count()), "bands")
     # each member meets its buckets' leaders
     pairs = stored(bands.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     near = stored(promising(pairs, classes, percent), "near")
@@ -314,16 +338,16 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id
     parts = connected_components(links)
     # members of different components of a bucket meet in blocks
     named = bands.select("rep", "band", "key").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.withColumn("component", F.coalesce("component", "rep"))
+    named = stored(named.withColumn("component", F.coalesce("component", "rep")), "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2")
-    parts_of = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = named.join(mixed.select("key", parts_of.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
-    rows = stored(rows.select("key", "rep", "component", "band", "part", "parts"), "open")
+    mixed = stored(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
+    rows = join_unique(named, mixed, "key", named.count()).withColumn("part", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
+    rows = stored(rows.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "component", "n", "band", "part", "sketch", "parts"), "open")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "band", "part")
-    ids = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = texts_of(docs, ids, id_col, text).select(F.col("doc_id").alias("rep"), "text")
-    whole = dealt.join(classes.select("rep", "n", "sketch").join(texts, "rep"), "rep")
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "n", "band", "part", "sketch")
+    # sketches meet first; texts go only where they are asked for
+    asked = stored(block_candidates(dealt, percent), "asked")
+    whole = asked.join(texts_of(docs, asked.select(F.col("rep").alias("a"), F.col("rep").alias("b")), id_col, text).select(F.col("doc_id").alias("rep"), "text"), "rep")
     return links.unionByName(stored(block_links(whole, width, percent), "block-links"))
 
 
