@@ -6,15 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the stop words and irregular forms that retrieval is defined with
-STOP_WORDS = ("a an the at in on of to is are was were be do does did who what which for with and").split()
+STOP_WORDS = (
+    "a", "an", "the", "at", "in", "on", "of", "to", "is", "are", "was", "were", "be", "do", "does", "did", "who", "what", "which", "for",
+    "with", "and",
+)
 IRREGULAR = {
     "flew": "fly", "flying": "fly", "flown": "fly", "took": "take", "taking": "take", "taken": "take", "went": "go", "going": "go", "gone": "go",
     "bought": "buy", "buying": "buy", "got": "get", "getting": "get", "ate": "eat", "ran": "run", "stayed": "stay", "moved": "move", "watched": "watch",
 }
 # fixed values: words that scoring of answers leaves out
-SCORE_STOP_WORDS = ("the a an is are was were to of in on and or for with it its").split()
+SCORE_STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "to", "of", "in", "on", "and", "or", "for", "with", "it", "its",
+)
 # fixed values: month names
-MONTHS = ("january february march april may june july august september october november december").split()
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+)
 NOT_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
@@ -32,7 +39,7 @@ def norm_token(token: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Normalized tokens of more than one byte that aren't stop words, in order."""
-    kept = F.filter(words(text), lambda t: (F.octet_length(t) > 1) & ~t.isin(STOP_WORDS))
+    kept = F.filter(words(text), lambda t: (F.octet_length(t) > 1) & ~t.isin(*STOP_WORDS))
     return F.transform(kept, norm_token)
 
 
@@ -64,7 +71,7 @@ def strip_thinking(text: Column) -> Column:
 
 
 def score_tokens(text: Column) -> Column:
-    return F.filter(words(text), lambda t: ~t.isin(SCORE_STOP_WORDS))
+    return F.filter(words(text), lambda t: ~t.isin(*SCORE_STOP_WORDS))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
@@ -119,8 +126,8 @@ def chunks(text: Column, target: int = 3500) -> Column:
 
 
 def is_counting_question(question: Column) -> Column:
-    """Whether a question asks for a number of things or a total."""
-    return F.lower(question).rlike(r"\b(how many|how much|number of|count of|total|in all|altogether)\b")
+    """Whether a question asks for a number of things, a total, or what has most or least."""
+    return F.lower(question).rlike(r"\b(how many|how much|number of|count of|total|in all|altogether)\b| (most|least) ")
 
 
 def names_subject(subject: Column, question: Column) -> Column:

@@ -17,7 +17,7 @@ from tessera.plans import magic
 from tessera.plans.compiler import SPARK_TYPES, convert, derive, matches, merged, relation_schema
 from tessera.plans.program import ANY, INT, SYM, arities, check_clause, components, infer_types, reads, type_of, wider
 from tessera.plans.rules import Atom, Clause, Const, Now, Pos, RuleError, Var, parse_goal, parse_program
-from tessera.plans.semiring import MODES, Semiring
+from tessera.plans.semiring import MODES, Interpret, Semiring
 from tessera.sources.storage import Space
 
 OPEN_END = 9223372036854775807
@@ -345,6 +345,10 @@ class Engine:
         df = self.relation(pred)
         return merged(df, len(self.types()[pred]), self.semiring)
 
+    def interpreted(self, pred: str, reading: Interpret, name: str = "value") -> DataFrame:
+        """The facts of a predicate with a reading of their annotation in a column more."""
+        return self.facts(pred).withColumn(name, reading.read({c: F.col(c) for c in self.semiring.columns}))
+
     # evaluation
 
     def set_now(self, now: int) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators.engine import Engine
 from tessera.plans.program import INT, SYM
 
-# fixed values: the rules of the default views
+# fixed values: the rules of the default views, of canonical names, of relevance and of order in time
 TEMPORAL = """
 current(E, R, O) :- edge(E, R, O, VF, VT, _), now(T), VF =< T, T < VT.
 believed(E, R, O, T) :- edge(E, R, O, VF, VT, AT), AT =< T, VF =< T, T < VT.
@@ -37,8 +38,6 @@ happened_before(A, B) :- first_dated(A, D1), first_dated(B, D2), A \\= B, D1 < D
 stated_before(X, Y) :- current(X, "before", Y).
 stated_before(X, Z) :- stated_before(X, Y), stated_before(Y, Z).
 """
-#: Names of entities have at most so many words.
-NAME_WORDS = 8
 #: Vectors of names are dealt to so many blocks, which are compared two by two.
 VECTOR_BLOCKS = 32
 
@@ -80,6 +79,23 @@ def assert_alias(engine: Engine, local: str, canonical: str, conf: float = 0.9)
     engine.declare("entity", canonical)
 
 
+def reconcile(engine: Engine, candidates: DataFrame, confirm: Callable[[str, str, str], tuple[str, str, float] | None]) -> list[tuple[str, str, float]]:
+    """Asks ``confirm`` about each pair of a report of candidates (a, b, why): (local, canonical, confidence) asserts an alias, None doesn't.
+    A name that is an alias already, or that aliases lead to, doesn't become one. Returns what was asserted."""
+    done: list[tuple[str, str, float]] = []
+    known = {(r["p0"], r["p1"]) for r in engine.facts("alias").select("p0", "p1").collect()} if "alias" in engine.types() else set()
+    for r in candidates.collect():  # a report of a bounded length
+        found = confirm(r["a"], r["b"], r["why"])
+        if found is None or found[0] == found[1] or not {found[0], found[1]} <= {r["a"], r["b"]}:
+            continue
+        if found[0] in {x for x, _ in known} | {y for _, y in known} or found[1] in {x for x, _ in known}:
+            continue
+        assert_alias(engine, *found)
+        known.add(found[:2])
+        done.append(found)
+    return done
+
+
 def seed_mentions(engine: Engine, session: str, hits: DataFrame) -> None:
     """Declares ``mentions(session, entity)`` from (entity, score) with the score as confidence."""
     rows = hits.select(F.lit(session).alias("s"), F.col(hits.columns[0]).alias("e"), F.col(hits.columns[1]).cast("double").alias("c"))
@@ -94,7 +110,7 @@ def alias_candidates(names: DataFrame, facts: DataFrame | None = None, vectors:
     n = names.select(F.col(names.columns[0]).alias("name")).distinct()
     # names are short: each has few runs of words, and a run that is a name is found by equality
     ws = F.split(F.lower("name"), "[ _]+")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(ws), F.lit(NAME_WORDS))), lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ws)), lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))))
     held = n.select(F.col("name").alias("b"), F.explode(F.array_distinct(runs)).alias("run"))
     short = n.select(F.col("name").alias("a"), F.array_join(ws, " ").alias("run"))
     contained = short.join(held, "run").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("contained").alias("why"))

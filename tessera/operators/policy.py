@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # fixed values: prefixes of relations that hold many values, and of those that hold one
-MULTI = ("evidence mentions located describes tag related_to depends_on owns calls part_of source cites symptom_of aka alias_of").split()
-FUNCTIONAL = ("status phone address email version value_of current_value").split()
+MULTI = ("evidence", "mentions", "located", "describes", "tag", "related_to", "depends_on", "owns", "calls", "part_of", "source", "cites", "symptom_of", "aka", "alias_of")
+FUNCTIONAL = ("status", "phone", "address", "email", "version", "value_of", "current_value")
 OPEN_END = 9223372036854775807
 
 
-def starts_with_any(col: Column, prefixes: list[str]) -> Column:
+def starts_with_any(col: Column, prefixes: tuple[str, ...]) -> Column:
     return reduce(lambda a, p: a | F.startswith(col, F.lit(p)), prefixes, F.lit(False))
 
 

@@ -32,6 +32,10 @@ def convert(col: Column, have: str | None, want: str | None) -> Column:
     return F.lit(None).cast(SPARK_TYPES[want])
 
 
+def convert_text(col: Column, kind: str | None) -> Column:
+    return F.coalesce(col["i"].cast("string"), col["s"]) if kind == ANY else col.cast("string")
+
+
 def literal(value: str | int, want: str | None) -> Column:
     return convert(F.lit(value).cast("bigint") if isinstance(value, int) else F.lit(value), INT if isinstance(value, int) else SYM, want)
 
@@ -191,6 +195,8 @@ class Body:
         return out, INT
 
     def negate(self, atom, df: DataFrame) -> None:
+        """Negation as absence, or by the factor that the semiring gives a negated atom."""
+        ann, graded = list(self.semiring.columns), self.semiring.hooked("negate")
         kinds, on, seen = self.types[atom.pred], {}, {}
         for i, a in enumerate(atom.args):
             if isinstance(a, Const):
@@ -202,7 +208,16 @@ class Body:
                 elif a.name in self.bound:
                     on[self.name(a.name)] = convert(F.col(f"p{i}"), kinds[i], self.env.get(a.name))
                 seen.setdefault(a.name, i)
-        if on:
+        if graded:
+            sums = [c.alias(f"_n{n}") for n, c in self.semiring.plus().items()]
+            cols = [c.alias(n) for n, c in on.items()]
+            found = df.groupBy(*cols).agg(*sums).withColumn("_there", F.lit(True)) if on else df.agg(*sums, F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows").withColumn("_there", F.lit(True))
+            self.df = self.df.join(found, list(on), "left") if on else self.df.withColumn("_k", F.lit(1)).join(found.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+            factor = self.semiring.negate({c: F.col(f"_n{c}") for c in ann}, F.coalesce("_there", F.lit(False)))
+            self.df = self.df.withColumns({f"_f{c}": v for c, v in factor.items()}).where(~self.semiring.is_zero({c: F.col(f"_f{c}") for c in ann}))
+            product = self.semiring.times({c: F.col(c) for c in ann}, {c: F.col(f"_f{c}") for c in ann})
+            self.df = self.df.withColumns(product).drop("_there", *[f"_n{c}" for c in ann], *[f"_f{c}" for c in ann])
+        elif on:
             self.df = self.df.join(df.select(*[c.alias(n) for n, c in on.items()]), list(on), "left_anti")
         else:
             some = df.limit(1).select(F.lit(1).alias("_k"))
@@ -258,8 +273,16 @@ def derive(spark: SparkSession, clause: Clause, source: Source, types, semiring:
     """The facts that a clause derives, not yet merged."""
     head = clause.head
     inner = [a.term if isinstance(a, Agg) else a for a in head.args]
-    body = solve(spark, clause, source, types, semiring, now, {a.name for a in inner if isinstance(a, Var)}, first)
+    keep, stamped = {a.name for a in inner if isinstance(a, Var)}, semiring.hooked("derive")
+    if stamped:  # the identity of a derivation is that of all its atoms
+        keep |= {v for a in clause.positives() for v in a.variables()}
+    body = solve(spark, clause, source, types, semiring, now, keep, first)
     want = types[head.pred]
+    if stamped:
+        shown = lambda t: F.lit("_") if isinstance(t, Wild) else convert_text(*body.operand(t))
+        atoms = [F.concat(F.lit(f"{a.pred}("), F.concat_ws(", ", *[shown(t) for t in a.args]), F.lit(")")) for a in clause.positives()]
+        marks = semiring.derive({c: F.col(c) for c in semiring.columns}, clause.clause_id, F.array_sort(F.array(*atoms)) if atoms else F.expr("cast(array() as array<string>)"))
+        body.df = body.df.withColumns(marks)
 
     def column(term: Term, kind: str | None) -> Column:
         value, have = body.operand(term)
@@ -271,9 +294,10 @@ def derive(spark: SparkSession, clause: Clause, source: Source, types, semiring:
         return body.df.select(*cols, *marks) if cols or marks else body.df.select(F.lit(1).alias("_one"))
     # aggregates fold the distinct tuples of group and aggregated terms together
     group = [i for i, a in enumerate(head.args) if not isinstance(a, Agg)]
-    tuples = body.df.select(
-        *[column(a.term if isinstance(a, Agg) else a, term_type(a.term, body.env) if isinstance(a, Agg) else want[i]).alias(f"p{i}") for i, a in enumerate(head.args)]
-    ).distinct()
+    terms = [column(a.term if isinstance(a, Agg) else a, term_type(a.term, body.env) if isinstance(a, Agg) else want[i]).alias(f"p{i}") for i, a in enumerate(head.args)]
+    marks = semiring.aggregate(tuple(a.fn for a in head.args if isinstance(a, Agg)))
+    tuples = body.df.select(*terms, *(list(semiring.columns) if marks else []))
+    tuples = merged(tuples, len(terms), semiring) if marks else tuples.distinct()
     folds = [F.count(F.lit(1)).alias("_rows")]
     for i, a in enumerate(head.args):
         if isinstance(a, Agg):
@@ -283,5 +307,7 @@ def derive(spark: SparkSession, clause: Clause, source: Source, types, semiring:
             col = convert(F.col(f"p{i}"), kind, INT) if a.fn == "sum" or kind == ANY else F.col(f"p{i}")
             fold = {"count": F.count(F.lit(1)), "min": F.min(col), "max": F.max(col), "sum": F.coalesce(F.sum(col), F.lit(0))}[a.fn]
             folds.append(convert(fold, INT if a.fn in ("count", "sum") or kind == ANY else kind, want[i]).alias(f"p{i}"))
-    out = tuples.groupBy(*[f"p{i}" for i in group]).agg(*folds).where("_rows > 0")
+    out = tuples.groupBy(*[f"p{i}" for i in group]).agg(*folds, *[c.alias(n) for n, c in (marks or {}).items()]).where("_rows > 0")
+    if marks:
+        return out.select(*[f"p{i}" for i in range(len(head.args))], *marks)
     return out.select(*[f"p{i}" for i in range(len(head.args))], *[c.alias(n) for n, c in semiring.aggregated().items()])

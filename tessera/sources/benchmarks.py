@@ -1,13 +1,14 @@
-"""Readers of conversation benchmarks and a cache of extractions."""
+"""Readers of conversation benchmarks, extractors that cut and remember, and caches beside them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import minutes_of
+from tessera.functions.text import chunks, minutes_of
+from tessera.sources.storage import exists
 
 INSTANCE = (
     "question_id string, question_type string, question string, answer string, question_date string, haystack_dates array<string>, "
@@ -38,19 +39,47 @@ def conversation(spark: SparkSession, path: str) -> DataFrame:
     return sessions.select("session", text.alias("text")).join(dates, "session", "left").select("session", F.coalesce("ts", F.lit(0)).alias("ts"), "text")
 
 
-def cached_extraction(episodes: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Episodes with their text extracted, each content only once: a Parquet cache under ``path`` is keyed by text and time. A text
-    that ``extract`` gives as null failed; it isn't cached and yields no facts."""
-    spark = episodes.sparkSession
-    keyed = episodes.withColumn("_key", F.sha2(F.concat_ws("\x1f", F.col("ts").cast("string"), "text"), 256))
-    try:
-        have = spark.read.schema("_key string, out string").parquet(path)
-        have.limit(1).count()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = spark.createDataFrame([], "_key string, out string")
-    new = extract(keyed.join(have, "_key", "left_anti").dropDuplicates(["_key"])).select("_key", F.col("text").alias("out")).where("out is not null")
+def cached(rows: DataFrame, keys: list[str], path: str, compute: Callable[[DataFrame], DataFrame], name: str, kind: str) -> DataFrame:
+    """Rows with a column ``name`` that ``compute`` adds, each content of ``keys`` computed only once: a Parquet table under ``path`` holds
+    what was found, by digest. What comes out as null failed; it isn't kept and is tried again the next time."""
+    spark = rows.sparkSession
+    keyed = rows.withColumn("_key", F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]), 256))
+    schema = f"_key string, _out {kind}"
+    have = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    new = compute(keyed.join(have, "_key", "left_anti").dropDuplicates(["_key"])).select("_key", F.col(name).cast(kind).alias("_out")).where("_out is not null")
     new.write.mode("append").parquet(path)
-    have = spark.read.schema("_key string, out string").parquet(path)
-    return keyed.join(have, "_key", "left").withColumn("text", F.coalesce("out", F.lit(""))).drop("_key", "out")
+    have = spark.read.schema(schema).parquet(path).dropDuplicates(["_key"])
+    return keyed.drop(*({name} - set(keys))).join(have, "_key", "left").withColumn(name, F.col("_out")).drop("_key", "_out")
+
+
+def cached_extraction(episodes: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Episodes with their text extracted, each text and time only once. A text that ``extract`` gives as null yields no facts."""
+    return cached(episodes, ["ts", "text"], path, extract, "text", "string").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def cached_vectors(facts: DataFrame, path: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """(id, text, v): vectors of facts' texts, each text embedded once."""
+    return cached(facts.select("id", "text"), ["text"], path, lambda df: df.withColumn("v", embed(F.col("text"))), "v", "array<double>")
+
+
+def cached_dates(rows: DataFrame, path: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (id, text, ...) with ``ymd``, the date that ``read`` finds in a text (YYYYMMDD), each text read once."""
+    return cached(rows, ["text"], path, read, "ymd", "bigint")
+
+
+def memoized(extract: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame], DataFrame]:
+    """An extractor for a memory that remembers what it has extracted."""
+    return lambda episodes: cached_extraction(episodes, path, extract)
+
+
+def chunked(extract: Callable[[DataFrame], DataFrame], target: int = 3500) -> Callable[[DataFrame], DataFrame]:
+    """An extractor for a memory that gives long episodes to ``extract`` in pieces of at most ``target`` bytes, cut at line ends; an
+    episode's facts are those of its pieces, in order. A piece that fails (null) has none."""
+
+    def run(episodes: DataFrame) -> DataFrame:
+        others = [c for c in episodes.columns if c != "text"]
+        pieces = episodes.select(*others, F.posexplode(chunks(F.col("text"), target)).alias("_piece", "text"))
+        done = extract(pieces).groupBy(*others).agg(F.array_sort(F.collect_list(F.struct("_piece", F.coalesce("text", F.lit("")).alias("text")))).alias("_done"))
+        return done.select(*others, F.array_join(F.transform("_done", lambda x: x["text"]), "\n").alias("text")).select(*episodes.columns)
+
+    return run

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: words that name nobody in particular
-UNRESOLVED = ("i me my mine speaker user they them he she it we you that").split()
+UNRESOLVED = ("i", "me", "my", "mine", "speaker", "user", "they", "them", "he", "she", "it", "we", "you", "that")
 MAX_BYTES, MAX_WORDS = 60, 8
 _ASCII_SHOWN = r"^[\x21-\x7e]+$"
 _NAME = r"^[\p{IsAlphabetic}\p{N}_\-' /.:#]*$"
@@ -23,7 +23,7 @@ def entity_problem(name: Column) -> Column:
     spaced = name.rlike(r"\s")
     return (
         F.when(F.length(name) == 0, "empty entity name")
-        .when(F.lower(name).isin(UNRESOLVED), "a pronoun or role word: give the entity's name")
+        .when(F.lower(name).isin(*UNRESOLVED), "a pronoun or role word: give the entity's name")
         .when((F.octet_length(name) > MAX_BYTES) | (F.size(F.filter(F.split(name, r"\s+"), lambda w: w != "")) > MAX_WORDS), "prose: entity names are short")
         .when(~spaced & ~name.rlike(_ASCII_SHOWN), "characters that aren't printable ASCII in a single token")
         .when(spaced & ~name.rlike(_NAME), "punctuation in a name with spaces")

@@ -1,15 +1,19 @@
-"""Snapshots of a memory: Parquet tables and a manifest, and a text form for exchange."""
+"""Snapshots of a memory: versions of Parquet tables, each made whole by its manifest, and a text form for exchange."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.memory import Memory
+from tessera.operators.engine import OPEN_END
+from tessera.operators.memory import Escalations, Memory, in_order
+from tessera.plans.compiler import relation_schema
 from tessera.plans.program import ANY, INT
 from tessera.plans.rules import RuleError
+from tessera.sources.storage import exists, names_in, remove
 
 MAGIC = "TESSERA1"
 _ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), (" ", "\\s")]
@@ -38,46 +42,88 @@ def escaped(col: Column) -> Column:
     return col
 
 
-def save(memory: Memory, path: str) -> None:
-    """Writes episodes, edges and other base facts as Parquet, then the manifest that makes them a snapshot."""
-    memory.episodes.write.mode("overwrite").parquet(f"{path}/episodes")
-    memory.open.unionByName(memory.closed).write.mode("overwrite").parquet(f"{path}/edges")
-    memory.engine.flush()
+MANIFEST = "manifest"
+KEPT_VERSIONS = 2
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole versions below a path, oldest first: those whose manifest is written."""
+    return [v for v in names_in(spark, path) if v.startswith("v") and exists(spark, f"{path}/{v}/{MANIFEST}/_SUCCESS")]
+
+
+def save(memory: Memory, path: str, batch: int | None = None) -> str:
+    """Writes episodes, edges, escalations and other base facts as a new version below ``path``, its manifest last: without it a version
+    doesn't count, so a save that is cut off leaves the one before. The memory goes on with the new files, and versions older than the
+    one before are removed. ``batch``: the last batch of a stream that it holds. Returns the version's path."""
+    spark, engine = memory.spark, memory.engine
+    engine.flush()
+    names = [v for v in names_in(spark, path) if v.startswith("v")]
+    at = f"{path}/v{int(names[-1][1:11]) + 1 if names else 1:010d}-{uuid.uuid4().hex[:8]}"
+    memory.episodes.write.parquet(f"{at}/episodes")
+    memory.open.unionByName(memory.closed).write.parquet(f"{at}/edges")
+    in_order(memory.escalated.table(), "part", "i").write.parquet(f"{at}/escalations")
     kept = {}
-    for pred, base in sorted(memory.engine.base.items()):
+    for pred, base in sorted(engine.base.items()):
         if pred != "edge" and base.parts:
-            memory.engine._union(base.parts, base.types).write.mode("overwrite").parquet(f"{path}/facts/{pred}")
+            engine._union(base.parts, base.types).write.parquet(f"{at}/facts/{pred}")
             kept[pred] = base.types
     manifest = {
-        "magic": MAGIC, "now": memory.engine.now, "rules": memory.rules, "batches": [[b.id, b.source] for b in memory.engine.batches], "counter": memory.engine.counter,
-        "escalations": memory.escalated, "n": memory.n, "facts": kept,
+        "magic": MAGIC, "now": engine.now, "rules": memory.rules, "batches": [[b.id, b.source] for b in engine.batches], "counter": engine.counter,
+        "escalations": len(memory.escalated), "n": memory.n, "facts": kept, "batch": batch,
     }
-    memory.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{at}/{MANIFEST}")
+    _rebase(memory, at, manifest)
+    for old in [v for v in names if v not in versions(spark, path)[-KEPT_VERSIONS:]]:
+        remove(spark, f"{path}/{old}")
+    return at
+
+
+def _rebase(memory: Memory, at: str, manifest: dict) -> None:
+    """Lets a memory read from a version's files."""
+    spark, engine = memory.spark, memory.engine
+    memory.episodes = spark.read.schema(memory.episodes.schema).parquet(f"{at}/episodes")
+    edges = spark.read.schema(memory.open.schema).parquet(f"{at}/edges")
+    memory.open, memory.closed = edges.where(F.col("vt") == OPEN_END), edges.where(F.col("vt") != OPEN_END)
+    memory.turns = {}
+    waiting = spark.read.schema("i long, text string").parquet(f"{at}/escalations")
+    memory.escalated = Escalations(spark, [(waiting, manifest["escalations"])] if manifest["escalations"] else [])
+    for pred, types in manifest["facts"].items():
+        known = engine.base.get(pred)
+        if known is not None and not known.pending:
+            known.parts, known.removals = [spark.read.schema(relation_schema(types, engine.semiring)).parquet(f"{at}/facts/{pred}")], 0
+    known = engine.base.get("edge")
+    if known is not None and not known.pending and not known.shrunk:
+        args = [F.col(c).alias(f"p{i}") for i, c in enumerate(("subj", "pred", "obj", "vf", "vt", "at"))]
+        known.parts, known.removals = [edges.select(*args, F.col("conf").alias("_conf"), F.col("prov").alias("_prov"))], 0
 
 
 def load(spark: SparkSession, path: str, **options) -> Memory:
-    """A memory from a snapshot; derived relations are derived anew."""
-    manifest = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/manifest").collect()))
+    """A memory from the last whole version of a snapshot; derived relations are derived anew."""
+    return restore(Memory(spark, **options), path)[0]
+
+
+def restore(memory: Memory, path: str) -> tuple[Memory, int | None]:
+    """Fills a new memory from the last whole version: (memory, last batch that it holds)."""
+    spark, engine = memory.spark, memory.engine
+    whole = versions(spark, path)
+    if not whole:
+        raise RuleError(f"{path} isn't a snapshot")
+    at = f"{path}/{whole[-1]}"
+    manifest = json.loads("".join(r["value"] for r in spark.read.text(f"{at}/{MANIFEST}").collect()))
     if manifest.get("magic") != MAGIC:
         raise RuleError(f"{path} isn't a snapshot")
-    memory = Memory(spark, **options)
-    memory.rules = manifest["rules"]
-    memory.engine.batches = []
+    memory.rules, engine.batches = manifest["rules"], []
     for batch_id, source in manifest["batches"]:
-        memory.engine.counter = int(batch_id[1:]) - 1
-        memory.engine.install(source)
-    memory.engine.counter = manifest["counter"]
-    memory.episodes = spark.read.parquet(f"{path}/episodes")
-    edges = spark.read.schema(memory.open.schema).parquet(f"{path}/edges")
-    end = F.lit(9223372036854775807)
-    memory.open, memory.closed = edges.where(F.col("vt") == end), edges.where(F.col("vt") != end)
-    memory.n, memory.escalated = manifest["n"], manifest["escalations"]
+        engine.counter = int(batch_id[1:]) - 1
+        engine.install(source)
+    engine.counter, memory.n = manifest["counter"], manifest["n"]
     for pred, types in manifest["facts"].items():
-        memory.engine._add(pred, spark.read.parquet(f"{path}/facts/{pred}"), types)
+        engine._add(pred, spark.read.schema(relation_schema(types, engine.semiring)).parquet(f"{at}/facts/{pred}"), types)
+    _rebase(memory, at, manifest)
     memory._publish()
-    memory.engine.set_now(manifest["now"])
+    engine.set_now(manifest["now"])
     memory.maintain()
-    return memory
+    return memory, manifest["batch"]
 
 
 def fact_lines(memory: Memory) -> DataFrame:
@@ -114,7 +160,7 @@ def import_text(spark: SparkSession, text: str, magics: tuple[str, ...] = (MAGIC
     if lines[0] not in magics:
         raise RuleError(f"not a snapshot: {lines[0][:40]!r}")
     memory = Memory(spark, **options)
-    memory.engine.batches, episodes, edges, now = [], [], [], 0
+    memory.engine.batches, episodes, edges, now, waiting = [], [], [], 0, []
     for line in lines[1:]:
         kind, *rest = line.split("\t")
         if kind == "NOW":
@@ -125,7 +171,7 @@ def import_text(spark: SparkSession, text: str, magics: tuple[str, ...] = (MAGIC
         elif kind == "EP":
             episodes.append((unescape(rest[0]), len(episodes) + 1, unescape(rest[3]), int(rest[1]), unescape(rest[2]) or None))
         elif kind == "ESC":
-            memory.escalated.append(unescape(rest[0]))
+            waiting.append(unescape(rest[0]))
         elif kind == "FACT":
             pred, conf, prov, shown = rest
             args = [int(a[2:]) if a[:2] == "i:" else unescape(a[2:]) for a in shown.split(" ")] if shown else []
@@ -145,6 +191,7 @@ def import_text(spark: SparkSession, text: str, magics: tuple[str, ...] = (MAGIC
         every = spark.createDataFrame(edges, memory.open.schema)
         end = F.lit(9223372036854775807)
         memory.open, memory.closed = every.where(F.col("vt") == end), every.where(F.col("vt") != end)
+    memory.escalated = Escalations.of(spark, waiting)
     memory._publish()
     memory.engine.set_now(now)
     memory.maintain()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from itertools import islice
 
 from tessera.operators import packs
 from tessera.operators.memory import Memory
@@ -10,7 +11,7 @@ from tessera.operators.proofs import why
 from tessera.plans.rules import RuleError, parse_fact
 from tessera.sources import snapshot
 
-LEAST_BUDGET, BUDGET, DUMP = 50, 1000, 200
+LEAST_BUDGET, BUDGET, DUMP, SHOWN = 50, 1000, 200, 50
 MUTATING = {"observe", "retract", "install_rules", "uninstall", "canonicalize", "run"}
 
 
@@ -36,7 +37,7 @@ class Tools:
     def tool_observe(self, text: str, ts: int | None = None, speaker: str | None = None) -> str:
         report = self.memory.observe([(text, self.memory.engine.now if ts is None else ts, speaker)])
         self.memory.maintain()
-        lines = [f"added {report['added']}, updated {report['updated']}, merged {report['noop']}", *report["escalations"]]
+        lines = [f"added {report['added']}, updated {report['updated']}, merged {report['noop']}", *islice(report["escalations"], SHOWN)]
         lines += [f"dropped {r['line']!r}: {r['reason']}" for r in self.memory.dropped.orderBy("line_no").limit(50).collect()]
         return "\n".join(lines)
 

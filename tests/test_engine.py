@@ -244,3 +244,50 @@ def test_schema_summary(spark):
     e.install("r(X, Y) :- e(X, Y).")
     e.run()
     assert e.schema_summary()[0].startswith("e/2: 3 rows") and len(e.schema_summary()) == 2
+
+
+def test_hooks_of_a_carrier(spark):
+    from tessera.operators.proofs import fact, supports
+    from tessera.plans.semiring import Derivations, Doubt, MeanConfidence
+
+    e = Engine(spark, Doubt())
+    for p, x, c in [("pkg", "a", 0.8), ("pkg", "b", 1.0), ("pkg", "c", 1.0), ("bad", "a", 0.25), ("bad", "b", 1.0)]:
+        e.declare(p, x, conf=c)
+    e.install("safe(P) :- pkg(P), !bad(P). none(P) :- pkg(P), !bad(zz).")
+    e.run()
+    assert {r["p0"]: round(r["_conf"], 6) for r in e.facts("safe").collect()} == {"a": 0.6, "c": 1.0} and e.facts("none").count() == 3
+    e = Engine(spark, Derivations())
+    for x, y, c in [("s", "m", 0.9), ("m", "t", 1.0), ("s", "t", 0.5)]:
+        e.declare("arc", x, y, conf=c)
+    e.install("""r(X, Y) :- arc(X, Y). r(X, Z) :- arc(X, Y), r(Y, Z). two(X, Z) :- arc(X, Y), arc(Y, Z).
+    n(X, count(Y)) :- arc(X, Y). t(X, sum(N)) :- amount(X, N).""")
+    e.declare("amount", "s", 3, conf=0.5)
+    e.declare("amount", "s", 4, conf=1.0)
+    e.run()
+    got = {(r["p0"], r["p1"]): (len(r["_ways"]), round(r["value"], 6)) for r in e.interpreted("r", MeanConfidence()).collect()}
+    assert got == {("s", "m"): (1, 0.9), ("m", "t"): (1, 1.0), ("s", "t"): (2, 0.7)}
+    assert len(e.facts("two").first()["_ways"]) == 1  # one derivation, in whatever order its body fires
+    assert e.query("n", "s", 2).first()["_conf"] == 0.5 and e.query("t", "s", 7).first()["_conf"] == 0.75
+    e = Engine(spark)
+    for i in range(7):
+        e.declare("q", "x", i)
+    e.install("p(X) :- q(X, _). also: p(X) :- q(X, N), N < 2.")
+    e.run()
+    rows = supports(e, "p").collect()
+    assert sorted((r["label"], len(r["body"])) for r in rows) == [("also", 1)] * 2 + [("rule/p", 1)] * 4
+    found = fact(e, "p", "x")
+    assert not found["base"] and len(found["supports"]) == 6 and fact(e, "p", "y") is None and fact(e, "q", "x", 3)["base"]
+
+
+def test_a_founded_proof_is_found_beyond_the_first_supports(spark):
+    e = Engine(spark)
+    for i in range(40):
+        e.declare("e", f"a{i:02d}", f"a{(i + 1) % 40:02d}")
+        e.declare("e", f"a{i:02d}", "hub")
+        e.declare("e", "hub", f"a{i:02d}")
+    e.declare("start", "zz")
+    e.declare("e", "zz", "hub")
+    e.install("on(X) :- start(X). on(Y) :- on(X), e(X, Y).")
+    e.run()
+    tree = why(e, "on", "hub")
+    assert "on(zz)" in tree and "cycle" not in tree and tree.count("asserted") == 2
