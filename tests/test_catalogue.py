@@ -10,7 +10,7 @@ from tessera import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = [n for i, n in enumerate(sorted(catalogue.oracle_sql())) if i % 2 == 0]
+EVERY = sorted(catalogue.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", EVERY)
 def test_query(spark, db, name):
     df = catalogue.queries()[name](spark, SF)
     cols = sorted(df.columns)
