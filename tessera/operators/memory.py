@@ -241,7 +241,7 @@ class Memory:
             if left < 0:
                 break
             sources.append(block)
-        news = [f"{r['pred']}{r['args']}" for r in self.engine.changes_from(self.turn).where("kind = 'Added'").orderBy("epoch", "pred", "args").limit(20).collect()]
+        news = [f"{r['pred']}{r['args']}" for r in self.engine.changes_from(self.turn).where("kind = 'Added' and pred <> 'edge'").orderBy("epoch", "pred", "args").limit(20).collect()]
         head = ["== new in memory since last turn ==", *news, ""] if news else []
         return "\n".join([*head, "== memory (distilled, highest confidence first) ==", *[r["text"] for r in facts], "", "== source episodes (verbatim, from provenance) ==", *sources]) + "\n"
 

@@ -37,10 +37,9 @@ class Scenario:
 
     def log(self, spark: SparkSession) -> DataFrame:
         """(turn, ts, kind, subj, obj, text)."""
-        at, kind = self._draw("kind", sum(self.mix.values())), F.lit(None).cast("string")
-        top = sum(self.mix.values())
-        for name, n in reversed(self.mix.items()):
-            kind, top = F.when(at >= top - n, F.lit(name)).otherwise(kind), top - n
+        at, kind, low = self._draw("kind", sum(self.mix.values())), F.lit(None).cast("string"), 0
+        for name, n in self.mix.items():
+            kind, low = F.when(at >= low, F.lit(name)).otherwise(kind), low + n
         who = F.format_string("staff_%02d", self._draw("who", self.people))
         # a boss has a lower number, so seats make no circles
         rank = self._draw("who", self.people)

@@ -78,7 +78,7 @@ def test_contexts(spark):
     m.maintain(5)
     text = m.context(["ann"], 400)
     assert "ann --owns--> red car   [conf 0.90, prov ep1]" in text and "[ep1] ann --owns" in text and "bob --likes" not in text.split("==")[4]
-    assert len(m.context(["ann"], 10).encode()) < 800  # news, and nothing else fits
+    assert len(m.context(["ann"], 10).encode()) < 600
     rich = m.context_for_query_rich("what is the current status of ann", 300)
     assert "ann --status--> sold (current; superseded: new)" in rich and "ATTRIBUTION" in rich
     assert "NO topic facts for: bob" in m.context_for_query_rich("which status has bob", 300)
@@ -261,7 +261,7 @@ def test_benchmark_readers_and_cache(spark, tmp_path):
 def test_scenario(spark):
     r = evaluate(spark, 120, batch=60, goals=1)
     assert r["accuracy"] == 1.0 and r["supersessions"] == r["expected_supersessions"] > 5 and r["escalations"] > 0
-    assert r["context_tokens"] < 420 and r["transcript_tokens"] > 500 and r["seconds_a_turn"] > 0
+    assert r["context_tokens"] < 700 and r["transcript_tokens"] > 500 and r["seconds_a_turn"] > 0
 
 
 def test_sections_of_a_rich_context(spark):
