@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tessera import catalogue  # noqa: E402
 from tessera.operators.engine import Engine  # noqa: E402
+from tessera.operators.memory import Memory  # noqa: E402
 
 NAMES = (
     "temporal_current", "closure_nonlinear", "closure_cyclic", "ask_deep_magic", "join_triangle", "neg_over_derived", "agg_multi_joint",

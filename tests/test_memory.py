@@ -284,7 +284,7 @@ def test_sections_of_a_rich_context(spark):
     assert [r["line"] for r in m.evidence("kitchen gadget", vectors, [1.0, 0.0]).collect()] == ["the_user --owns--> bread maker"]
     asked = []
     got = m.recall("old kettle sold", lambda q, eps: asked.append((q, [i for i, _ in eps])) or "the_user --sold--> kettle\nnoise")
-    assert got == ["the_user --sold--> kettle"] and asked[0][1] == ["ep1"] and m.recall("old kettle sold", lambda q, eps: " NONE ") == []
+    assert got == ["the_user --sold--> kettle"] and asked[0][1][0] == "ep1" and m.recall("old kettle sold", lambda q, eps: " NONE ") == []
 
 
 def test_rule_candidates():
