@@ -232,7 +232,7 @@ def unit_counts(docs: DataFrame, text: str, model: Model) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select(quoted(text)).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(quoted(text).alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -340,7 +340,9 @@ def widened(rows: DataFrame, text: str, added: T.StructType) -> tuple[DataFrame,
     places = [i for i, c in enumerate(kept.columns) if c.lower() == text.lower()]
     if not places:
         raise ValueError(f"{text} is not a column, or the name of one that is added: {rows.columns}")
-    return kept, places[0], T.StructType([*[T.StructField(f.name, f.dataType) for f in kept.schema.fields], *added.fields])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept.schema.fields], *added.fields])
+    # names by place on the way to Python, since Arrow functions look columns up by names without quoting them
+    return kept.toDF(*[f"c{i}" for i in range(len(kept.columns))]), places[0], schema
 
 
 def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, hot_units: int = HOT_UNITS, verify: bool = True) -> DataFrame:
