@@ -7,6 +7,7 @@ known in the end follows from the log by SQL functions, and is compared with wha
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +75,11 @@ def _above(pairs: set[tuple[str, str]], start: str) -> set[str]:
     return found
 
 
+def subjects_of(queue: Iterable[str], relation: str) -> set[str]:
+    """Whose slots of a relation wait in a queue of contradictions."""
+    return {t.split(" --", 1)[0] for t in queue if t.split(" --", 1)[1].startswith(f"{relation}--> ")}
+
+
 def evaluate(spark: SparkSession, turns: int = 1000, seed: int = 7, batch: int = 250, goals: int = 3) -> dict[str, float]:
     """Shares of right answers by kind, and figures: current jobs and superseded ones, seats over several steps by goals of demand,
     abstention (a contradictory slot has all its values open and is queued, another one isn't), tokens, and seconds a turn."""
@@ -100,7 +106,8 @@ def evaluate(spark: SparkSession, turns: int = 1000, seed: int = 7, batch: int =
     drinks: dict[str, set[str]] = {}
     for a, b in held["favourite"]:
         drinks.setdefault(a, set()).add(b)
-    queued = {t.split(" --", 1)[0] for t in memory.escalated}
+    # a person's seats wait in the same queue, so it is read by slot
+    queued = subjects_of(memory.escalated, RELATIONS["favourite"])
     doubt, sure = {r[0] for r in truth["doubt"].collect()}, {r[0] for r in truth["sure"].collect()}
     abstained = sum(len(drinks.get(a, ())) > 1 and a in queued for a in doubt) + sum(len(drinks.get(a, ())) == 1 and a not in queued for a in sure)
     context = memory.context([f"staff_{i:02d}" for i in range(5)], 400)

@@ -6,7 +6,7 @@ from tessera.operators import packs, policy
 from tessera.operators.engine import OPEN_END, Engine
 from tessera.operators.memory import Memory, date_differences, first_mentions, latest_per_slot
 from tessera.plans.rules import RuleError
-from tessera.scenario import evaluate
+from tessera.scenario import evaluate, subjects_of
 from tessera.session import Session
 from tessera.sources import benchmarks, protocol, snapshot
 from tessera.tools import Tools
@@ -264,6 +264,14 @@ def test_scenario(spark):
     assert r["context_tokens"] < 700 and r["transcript_tokens"] > 500 and r["seconds_a_turn"] > 0
 
 
+def test_a_scenarios_queue_is_read_by_slot(spark):
+    m = memory(spark)
+    m.observe([("ann --answers_to--> bob\nann --drinks--> tea\nbob --drinks--> tea\ncyd --drinks_at--> bar", 1), ("ann --answers_to--> cyd\nbob --drinks--> milk\ncyd --drinks_at--> inn", 2)])
+    assert len(m.escalated) == 3 and subjects_of(m.escalated, "drinks") == {"bob"}
+    # turns enough that people with one favourite have several seats
+    assert evaluate(spark, 200, goals=1)["abstention"] == 1.0
+
+
 def test_sections_of_a_rich_context(spark):
     m = memory(spark)
     m.observe([("the_user --spent--> 30\nthe_user --owns--> red kettle\nthe_user --owns--> bread maker\nthe_user --sold_item--> old kettle", 1), ("the_user --works_at--> a", 2), ("the_user --works_at--> b", 3)])
