@@ -111,7 +111,11 @@ def unpacked(data: list[bytes], dim: int) -> np.ndarray:
 
 def pairs_above(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.nonzero(x @ y.T >= least - 1e-9)
-    keep = np.einsum("ij,ij->i", x[a], y[b]) >= least
+    # where all rows of two blocks link, their pairs' vectors would take gigabytes at once
+    keep = np.empty(len(a), bool)
+    for at in range(0, len(a), PAIRS):
+        p, q = a[at : at + PAIRS], b[at : at + PAIRS]
+        keep[at : at + PAIRS] = np.einsum("ij,ij->i", x[p], y[q]) >= least
     return a[keep], b[keep]
 
 
@@ -208,7 +212,7 @@ def split_again(members: DataFrame, large: DataFrame, placed: DataFrame, count:
     few = count <= BROADCAST_LEAVES
     spill = spill_of(30)
     inside = members.join(F.broadcast(large) if few else large, ["g", "key"]).join(placed.select("rep", "dim", "vec"), "rep")
-    sample = inside.where(F.pmod(F.xxhash64("rep", "key"), F.lit(1_000_000)) < F.lit(1_000_000) * LEAF_SAMPLE / F.col("size"))
+    sample = inside.where(F.pmod(F.xxhash64("rep", "key"), F.lit(1_000_000)) < F.lit(1e6 * LEAF_SAMPLE) / F.col("size"))
     mask = (1 << TREE_SHIFT) - 1
 
     def fit(key, rows: pd.DataFrame) -> pd.DataFrame:

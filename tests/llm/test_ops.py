@@ -383,6 +383,27 @@ def test_forest_recall(spark, monkeypatch, leaf):
     assert true > 1000 and 0.95 * true <= got <= true
 
 
+def test_leaves_are_split_again_with_the_sample_as_it_stands(spark, monkeypatch):
+    """A dense group among rows that lie apart, in leaves larger than they may be."""
+    for name, v in (("LEAF", 40), ("LARGE_LEAF", 80), ("SAMPLE", 200), ("SUBTREE", 1), ("BLOCK", 50)):
+        monkeypatch.setattr(vectors, name, v)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((600, 16)), np.ones(16) + rng.standard_normal((200, 16)) * 0.01])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: tuple(r)[1:3] for r in vectors.near_vectors(df).collect()}
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    true = ((u @ u.T) >= 0.93).sum(1) - 1
+    assert len(got) == 800 and all(got[i][0] <= true[i] for i in got) and {got[i][1] for i in range(600, 800)} == {600}
+    assert sum(n for n, _ in got.values()) >= 0.9 * true.sum()
+
+
+def test_pairs_of_two_dense_blocks():
+    x = np.random.default_rng(5).standard_normal((300, 8)) * 0.01 + 1
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    a, b = vectors.pairs_above(x, x[:200], 0.93)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(300) for j in range(200)} and len(a) == 60_000 > vectors.PAIRS
+
+
 # 5
 
 
