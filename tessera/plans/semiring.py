@@ -131,6 +131,13 @@ class Depth(Semiring):
         return new["_cost"] < old["_cost"]
 
 
+def distinct_sorted(values: Column) -> Column:
+    """An array sorted, each element once. Spark's own array_distinct and array_except compare structs pair by pair; here equal ones are neighbours.
+    The outer transform names the sorted array, so that it is made once."""
+    kept = lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return F.transform(F.array(F.sort_array(values)), kept)[0]
+
+
 class Derivations(Semiring):
     """The set of derivations of a fact, each with the confidence of its body's product: a carrier of which averages can be read."""
 
@@ -143,10 +150,10 @@ class Derivations(Semiring):
         return {"_conf": a["_conf"] * b["_conf"], "_ways": self.one()["_ways"]}
 
     def plus(self):
-        return {"_conf": F.max("_conf"), "_ways": F.array_sort(F.array_distinct(F.flatten(F.collect_set("_ways"))))}
+        return {"_conf": F.max("_conf"), "_ways": distinct_sorted(F.flatten(F.collect_set("_ways")))}
 
     def grew(self, old, new):
-        return (new["_conf"] > old["_conf"] + 1e-12) | (F.size(F.array_except(new["_ways"], old["_ways"])) > 0)
+        return (new["_conf"] > old["_conf"] + 1e-12) | (F.size(distinct_sorted(F.concat(old["_ways"], new["_ways"]))) > F.size(old["_ways"]))
 
     def derive(self, a, clause_id, body):
         way = F.struct(F.concat_ws("|", F.lit(clause_id), body).alias("id"), a["_conf"].alias("conf"))
