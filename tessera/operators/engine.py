@@ -23,6 +23,8 @@ from tessera.sources.storage import Space
 OPEN_END = 9223372036854775807
 #: A closure's iteration doubles if that makes at most so many rows, and so many times the known facts.
 DOUBLING_ROWS, DOUBLING_TIMES = 50_000_000, 16
+#: Iterations in which an annotated closure only takes linear steps: sums of products of floating-point numbers then are a plain recursion's, bit by bit.
+PLAIN_STEPS = 32
 #: Tables that a relation is the union of, changes that the feed holds as plans, and new facts that are broadcast to look up known ones, at
 #: most; beyond that tables are stored as one, and facts are joined by shuffle.
 MOST_PARTS, MOST_CHANGES, BROADCAST_FACTS = 16, 128, 100_000
@@ -215,9 +217,17 @@ class Engine:
         if not known or not base.types:
             return new
         new = self.space.stored(new)
-        few = new.count() <= BROADCAST_FACTS
-        had = self._keys(pred, self._union(known, base.types)).join(F.broadcast(new) if few else new, new.columns, "left_semi").distinct()
-        return self.space.stored(new.join(had, new.columns, "left_anti"))
+        return self.space.stored(self._without(new, self._keys(pred, self._union(known, base.types))))
+
+    def _few(self, df: DataFrame) -> bool:
+        """Whether a stored table may be broadcast."""
+        return df.count() <= BROADCAST_FACTS
+
+    def _without(self, new: DataFrame, have: DataFrame) -> DataFrame:
+        """The rows of a stored table that another one lacks, by all columns; few rows are looked up there without shuffling it."""
+        if self._few(new):
+            have = have.join(F.broadcast(new), new.columns, "left_semi").distinct()
+        return new.join(have, new.columns, "left_anti")
 
     # rules
 
@@ -342,8 +352,10 @@ class Engine:
 
     def facts(self, pred: str) -> DataFrame:
         """The facts of a predicate, each once, with its annotation."""
-        df = self.relation(pred)
-        return merged(df, len(self.types()[pred]), self.semiring)
+        df, types = self.relation(pred), self.types()[pred]
+        if pred in self.derived and self.derived_types[pred] == types and types and self.base_relation(pred) is None:
+            return df  # stored with each fact once
+        return merged(df, len(types), self.semiring)
 
     def interpreted(self, pred: str, reading: Interpret, name: str = "value") -> DataFrame:
         """The facts of a predicate with a reading of their annotation in a column more."""
@@ -425,8 +437,10 @@ class Engine:
             for p, (full, _) in new.items():
                 keys = [f"p{i}" for i in range(len(types[p]))]
                 before = old[p] if old[p] is not None else self._empty(types[p])
-                added = full.join(before, keys, "left_anti") if keys else full
-                removed = before.join(full, keys, "left_anti") if keys else before
+                if keys and old[p] is not None:
+                    added, removed = self._differences(full, before, keys)
+                else:
+                    added, removed = full, before
                 n = full.count() if old[p] is None else added.count()
                 lost = 0 if old[p] is None else removed.limit(1).count()
                 self.derived[p], self.derived_types[p], self.steps[p] = full, types[p], 0
@@ -443,6 +457,14 @@ class Engine:
         self.epoch += 1
         return report | {"total": sum(report.values())}
 
+    def _differences(self, full: DataFrame, before: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """What only the first and only the second of two tables of facts, each once, holds; both are shuffled once."""
+        ann = list(self.semiring.columns)
+        now = full.select(*keys, *ann, F.lit(True).alias("_now"))
+        was = before.select(*keys, *[F.col(c).alias(f"_o{c}") for c in ann], F.lit(True).alias("_was"))
+        differ = self.space.stored(now.join(was, keys, "full").where("_now is null or _was is null"))
+        return differ.where("_now").select(*keys, *ann), differ.where("_was").select(*keys, *[F.col(f"_o{c}").alias(c) for c in ann])
+
     def _keys(self, pred: str, df: DataFrame) -> DataFrame:
         return df.select(*[f"p{i}" for i in range(len(self.base[pred].types))])
 
@@ -470,12 +492,18 @@ class Engine:
         linear = two[0] if a.pred != b.pred else form(r, e.pred)
         return [one[0], linear], [one[0], form(r, r)]
 
-    def _few_paths(self, delta: DataFrame, full: DataFrame) -> bool:
-        """Whether joining the newest facts to all known ones makes few rows for what it may save in iterations."""
-        ends = delta.groupBy(F.col("p1").alias("y")).agg(F.count(F.lit(1)).alias("i"))
-        starts = full.groupBy(F.col("p0").alias("y")).agg(F.count(F.lit(1)).alias("o"))
+    def _few_paths(self, left: DataFrame, right: DataFrame, full: DataFrame, few: bool = False) -> bool:
+        """Whether joining some paths to others makes few rows for what it may save in iterations. ``few``: the left ones may be broadcast."""
+        most = DOUBLING_ROWS + DOUBLING_TIMES * full.count()
+        ends = left.groupBy(F.col("p1").alias("y")).agg(F.count(F.lit(1)).alias("i"))
+        if few:
+            made = right.select(F.col("p0").alias("y")).join(F.broadcast(ends), "y").agg(F.sum(F.col("i").cast("double"))).first()[0] or 0.0
+            return made <= most
+        starts = right.groupBy(F.col("p0").alias("y")).agg(F.count(F.lit(1)).alias("o"))
+        if left.count() * (starts.agg(F.max("o")).first()[0] or 0) <= most:
+            return True
         made = ends.join(starts, "y").agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0.0
-        return made <= DOUBLING_ROWS + DOUBLING_TIMES * full.count()
+        return made <= most
 
     def _fixpoint(self, group: list[str], own: list[Clause], seeds: dict[str, DataFrame] | None, old: dict) -> dict[str, tuple[DataFrame, DataFrame]]:
         """Facts of a component as (all derived, newly derived), stored. ``seeds``: what the inputs gained since ``old``
@@ -487,7 +515,8 @@ class Engine:
         static = {q: self.relation(q) for c in own for q, _ in reads(c) if q not in group}
         bases = {p: self.base_relation(p) for p in group}
         paths: dict[str, list[str]] = {p: [] for p in group}
-        full: dict[str, DataFrame | None] = {p: old.get(p) for p in group}
+        start: dict[str, DataFrame | None] = {p: old.get(p) for p in group}
+        full = dict(start)
         schema = {p: self._empty(types[p]).schema for p in group}
 
         def known(pred: str) -> DataFrame:
@@ -509,39 +538,73 @@ class Engine:
                         found.setdefault(c.head.pred, []).append(derive(self.spark, c, pick, types, ann, self.now, k))
             return {p: merged(self._union(xs, types[p]), len(types[p]), ann) for p, xs in found.items()}
 
-        def absorb(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
-            """Stores what is new and returns it."""
+        def absorb(found: dict[str, DataFrame], few: bool = False) -> dict[str, DataFrame]:
+            """Stores what is new and returns it. ``few``: what was found may be little, then it is looked up without shuffling all facts."""
             out = {}
             for p, df in found.items():
                 keys = [f"p{i}" for i in range(len(types[p]))]
                 have = full[p]
                 if have is not None and not ann.columns:
-                    df = df.join(have, keys, "left_anti") if keys else df.join(have.limit(1).select(F.lit(1).alias("_one")), "_one", "left_anti")
+                    if keys and few:
+                        df = self._without(self.space.stored(df), have)
+                    else:
+                        df = df.join(have, keys, "left_anti") if keys else df.join(have.limit(1).select(F.lit(1).alias("_one")), "_one", "left_anti")
                 elif have is not None:
                     was = have.select(*keys, *[F.col(c).alias(f"_o{c}") for c in ann.columns], F.lit(True).alias("_had"))
                     grew = ann.grew({c: F.col(f"_o{c}") for c in ann.columns}, {c: F.col(c) for c in ann.columns})
-                    df = (df.join(was, keys, "left") if keys else df.crossJoin(was)).where(F.col("_had").isNull() | grew).select(*keys, *ann.columns)
+                    df = (df.join(was, keys, "left") if keys else df.crossJoin(was)).where(F.col("_had").isNull() | grew).select(*keys, *ann.columns, "_had")
                 path = self.space.put(df)
                 new = self.space.get([path], df.schema)
                 if not new.limit(1).count():
                     continue
-                out[p] = new
-                if not ann.columns:
-                    paths[p].append(path)
-                    added = self.space.get(paths[p], schema[p])
-                    full[p] = self._union([x for x in (old.get(p), added) if x is not None], types[p])
-                elif have is None:
-                    full[p] = new
+                better = have is not None and bool(ann.columns) and new.where("_had").limit(1).count() > 0
+                out[p] = new = new.drop("_had")
+                if better:
+                    start[p], paths[p] = self.space.stored(merged(have.unionByName(new), len(types[p]), ann)), []
                 else:
-                    full[p] = self.space.stored(merged(have.unionByName(new), len(types[p]), ann))
+                    paths[p].append(path)
+                parts = [start[p], self.space.get(paths[p], schema[p]) if paths[p] else None]
+                full[p] = self._union([x for x in parts if x is not None], types[p])
             return out
 
-        delta = absorb(fire(seeds))
+        def by_powers(newest: DataFrame) -> dict[str, DataFrame]:
+            """Extends a closure's newest facts by e's paths of 1, 2, 4, 8... steps, so that a path of a tree is made once. Returns facts that are
+            still to be extended, if the next power would make too many rows."""
+            r = group[0]
+            extend = lambda a, b: derive(self.spark, forms[1][1], lambda k, q: a if k == 0 else b, types, ann, self.now)
+            ends = seeds is None or forms[0][1].positives()[0].pred == r
+            power = newest if seeds is None else self.space.stored(merged(derive(self.spark, forms[0][0], lambda k, q: known(q), types, ann, self.now), len(types[r]), ann))
+            longer = seeds is None
+            while True:
+                if longer:
+                    if not self._few_paths(power, power, full[r]):
+                        return {r: newest}
+                    power = self.space.stored(merged(extend(power, power), len(types[r]), ann))
+                    if not power.limit(1).count():
+                        return {}
+                # all paths shorter than the power's, from the base or from what is new
+                reach = full[r] if seeds is None else self._union(gained[r], types[r])
+                a, b = (reach, power) if ends else (power, reach)
+                if not self._few_paths(a, b, full[r]):
+                    return {r: newest}
+                self.last_iterations += 1
+                made = [extend(a, b), *([power] if seeds is None else [])]
+                found = absorb({r: merged(self._union(made, types[r]), len(types[r]), ann)})
+                if r not in found:
+                    return {}
+                newest, longer = found[r], True
+                gained[r].append(newest)
+
+        delta = absorb(fire(seeds), seeds is not None)
         gained: dict[str, list[DataFrame]] = {p: [d] for p, d in delta.items()}
+        if forms is not None and delta and not ann.columns and (seeds is None or not self._few(delta[group[0]])):
+            delta = by_powers(delta[group[0]])
         while recursive and delta:
             self.last_iterations += 1
-            double = forms is not None and self._few_paths(delta[group[0]], full[group[0]])
-            delta = absorb(fire(delta, forms[1] if double else rules))
+            few = seeds is not None and all(self._few(d) for d in delta.values())
+            plain = bool(ann.columns) and len(gained[group[0]]) <= PLAIN_STEPS if forms is not None else True
+            double = not plain and self._few_paths(delta[group[0]], full[group[0]], full[group[0]], few)
+            delta = absorb(fire(delta, forms[1] if double else rules), few)
             for p, d in delta.items():
                 gained.setdefault(p, []).append(d)
         out = {}

@@ -291,3 +291,35 @@ def test_a_founded_proof_is_found_beyond_the_first_supports(spark):
     e.run()
     tree = why(e, "on", "hub")
     assert "on(zz)" in tree and "cycle" not in tree and tree.count("asserted") == 2
+
+
+@pytest.mark.parametrize("rules", ["r(X, Y) :- e(X, Y). r(X, Z) :- r(X, Y), e(Y, Z).", "r(X, Y) :- e(X, Y). r(X, Z) :- e(X, Y), r(Y, Z)."])
+def test_closure_by_powers_goes_on_from_many_new_facts(spark, monkeypatch, rules):
+    from tessera.operators import engine
+
+    monkeypatch.setattr(engine, "BROADCAST_FACTS", 0)  # so that any change counts as many
+    arcs = [(i, i * 7 % 23) for i in range(23)] + [(i, i + 1) for i in range(23, 40)] + [(40, 3)]
+    e = Engine(spark)
+    e.register("e", spark.createDataFrame(arcs[::2], "a long, b long"))
+    e.install(rules)
+    e.run()
+    e.register("e", spark.createDataFrame(arcs[1::2], "a long, b long"))
+    e.run()
+    want = set(arcs)
+    while more := {(x, z) for x, y in want for u, z in arcs if u == y} - want:
+        want |= more
+    got = [(r["p0"], r["p1"]) for r in e.facts("r").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_closure_of_a_tree_makes_each_path_once(spark, monkeypatch):
+    from tessera.operators import engine
+
+    made = []
+    monkeypatch.setattr(engine, "merged", lambda df, n, s, merged=engine.merged: made.append(df.count()) or merged(df, n, s))
+    e = Engine(spark)
+    e.register("e", spark.range(1, 2000).selectExpr("id", "id div 2"))
+    e.install("r(X, Y) :- e(X, Y). r(X, Z) :- r(X, Y), e(Y, Z).")
+    e.run()
+    paths = e.relation("r").count()
+    assert sum(made) < 3 * paths  # the paths and the powers of e
